@@ -15,8 +15,7 @@ BYTES_PER_PARTITION = 256 * 1024 * 1024
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the sources below `df`, from the statistics of its plan."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = (leaves.apply(i).stats().sizeInBytes().toString() for i in range(leaves.size()))
-    return sum(int(size) for size in sizes)
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def is_small_input(df: DataFrame) -> bool:
