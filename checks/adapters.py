@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from visitlens.functions import scalars as S
-from visitlens.operators.sizing import small_table
+from visitlens.operators.sizing import local_table, small_table
 from visitlens.sources.tables import scan_table
 
 DX_SLOTS = [f"ICD{i}" for i in range(1, 8)]
@@ -138,8 +138,8 @@ def departments(spark: SparkSession) -> DataFrame:
         ('[3] "view"', None, None, None, 1), ('[4] "purchase"', None, 1, 1, None),
         ('[5] "signup"', None, None, None, None),
     ]
-    return spark.createDataFrame(
-        rows, "NAME string, `ICU` int, `ER` int, `HOSPITAL ADMISSION` int, `Rehabilitation` int"
+    return local_table(
+        spark, rows, "NAME string, `ICU` int, `ER` int, `HOSPITAL ADMISSION` int, `Rehabilitation` int"
     )
 
 

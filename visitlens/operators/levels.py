@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from visitlens.operators.sizing import rows_if_small, small_table
+from visitlens.operators.sizing import local_table, rows_if_small, small_table
 from visitlens.operators.skew import global_index, join_per_key
 
 
@@ -21,9 +21,7 @@ def level_dictionary(df: DataFrame, column: str, reference: str | None = None) -
         return placed.select("level", (F.col("_place") + 1).cast("int").alias("code"))
     ordered = sorted((r[0] for r in rows), key=lambda v: (reference is not None and v != reference, v))
     kind = levels.schema["level"].dataType.simpleString()
-    return df.sparkSession.createDataFrame(
-        [(v, i) for i, v in enumerate(ordered, start=1)], f"level {kind}, code int"
-    )
+    return local_table(df.sparkSession, [(v, i) for i, v in enumerate(ordered, start=1)], f"level {kind}, code int")
 
 
 def encode(df: DataFrame, column: str, out: str, reference: str | None = None) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 SMALL_ROWS = 50_000
 SMALL_INPUT_BYTES = 64 * 1024 * 1024
@@ -36,6 +38,16 @@ def rows_if_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> list | None:
     return rows if len(rows) <= max_rows else None
 
 
+def local_table(spark: SparkSession, rows, schema: str | StructType) -> DataFrame:
+    """Driver rows as a table whose size the planner knows, so that joins to it need no shuffle."""
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    rows = [tuple(r) for r in rows]
+    if not rows:
+        return spark.createDataFrame([], schema)
+    columns = [[r[i] for r in rows] for i in range(len(schema))]
+    return spark.createDataFrame(pa.table(columns, names=schema.names), schema)
+
+
 def small_table(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     """`df` marked for broadcast when its row count is proven small, else unchanged.
 
@@ -44,7 +56,7 @@ def small_table(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     rows = rows_if_small(df, max_rows)
     if rows is None:
         return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    return F.broadcast(local_table(df.sparkSession, rows, df.schema))
 
 
 def scalar(df: DataFrame, column: Column) -> Column:

@@ -11,7 +11,7 @@ from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from visitlens.operators.sizing import durable, is_small_input, range_partitions, small_table
+from visitlens.operators.sizing import durable, is_small_input, local_table, range_partitions, small_table
 
 HOT_SHARE = 0.01
 SALTS = 64
@@ -47,8 +47,8 @@ def global_index(df: DataFrame, order: Sequence[str | Column], out: str = "posit
     )
     sizes = sorted(tuple(r) for r in placed.groupBy(part.alias("part")).count().collect())
     starts = accumulate((n for _, n in sizes), initial=0)
-    offsets = df.sparkSession.createDataFrame(
-        [(p, s) for (p, _), s in zip(sizes, starts)], f"{raw}_part long, {raw}_start long"
+    offsets = local_table(
+        df.sparkSession, [(p, s) for (p, _), s in zip(sizes, starts)], f"{raw}_part long, {raw}_start long"
     )
     inside = F.col(raw).bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
     return (

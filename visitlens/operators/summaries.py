@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from visitlens.functions import fixed_values as fixed
-from visitlens.operators.sizing import is_small_input, rows_if_small, scalar, small_table
+from visitlens.operators.sizing import is_small_input, local_table, rows_if_small, scalar, small_table
 from visitlens.operators.skew import join_per_key, number_rows
 
 
@@ -47,7 +47,7 @@ def lump_rare(
     few = rows_if_small(rare)
     if few is not None:
         # Broadcasting the short list leaves the rows where they are.
-        joined = df.join(F.broadcast(df.sparkSession.createDataFrame(few, rare.schema)), column, "left")
+        joined = df.join(F.broadcast(local_table(df.sparkSession, few, rare.schema)), column, "left")
     else:
         joined = join_per_key(df, rare, [column])
     lumped = F.when(F.col("_rare"), F.lit(label)).otherwise(F.col(column).cast("string"))

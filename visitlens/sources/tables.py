@@ -7,6 +7,8 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from visitlens.operators.sizing import local_table
+
 
 def scan_table(spark: SparkSession, folder: str, name: str, schema: StructType | None = None) -> DataFrame:
     """The Parquet table `name` of a folder, with a fixed schema when one is given."""
@@ -50,7 +52,7 @@ def write_draws(draws: DataFrame, folder: str, name: str, version: str) -> str:
 
 def lookup_table(spark: SparkSession, rows, schema: str) -> DataFrame:
     """A literal dictionary as a table; being a local relation its size is known to the planner."""
-    return spark.createDataFrame(list(rows), schema)
+    return local_table(spark, rows, schema)
 
 
 def profile_shape(df: DataFrame) -> DataFrame:
