@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from visitlens.functions import fixed_values as fixed, scalars as S
-from visitlens.operators.sizing import rows_if_small
+from visitlens.operators.grouped_fits import augment_by_group, fit_by_group, fit_statistics, significant
+from visitlens.operators.sizing import rows_if_small, small_table
 from visitlens.operators.tables import column_sums, pivot_longer, stack_columns, sum_across
 
 
@@ -49,3 +50,13 @@ def letters_by_year(visits: DataFrame, columns: Sequence[str]) -> DataFrame:
     totals = [f"{x}_total" for x in letters]
     yearly = sum_across(letter_counts(kept, columns, letters), "year", totals)
     return pivot_longer(yearly.select("year", *[F.col(c).cast("long").alias(c) for c in totals]), ["year"], "category", "total")
+
+
+def trend_report(visits: DataFrame, columns: Sequence[str], level: float = fixed.SIGNIFICANCE) -> DataFrame:
+    """Yearly totals of the categories with a significant trend, with line, fit statistics and diagnostics."""
+    yearly = small_table(letters_by_year(visits, columns))
+    terms = significant(fit_by_group(yearly, "category", "year", "total"), "year", level)
+    trends = small_table(terms.select("category", F.col("estimate").alias("slope"), "p_value"))
+    shown = yearly.join(trends, "category", "left_semi")
+    rows = augment_by_group(shown, "category", "year", "total").join(trends, "category")
+    return rows.join(fit_statistics(shown, "category", "year", "total", level), "category")

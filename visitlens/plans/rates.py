@@ -43,3 +43,8 @@ def region_year_rates_filled(visits: DataFrame, population: DataFrame) -> DataFr
     """The same on the full year by region grid; empty combinations count 0 and the log is shifted."""
     filled = zero_fill_grid(counts_by_region_year(visits), "year", "region", "count")
     return _with_exposure(filled, population, S.log_shift(F.col("count")))
+
+
+def bias(scored: DataFrame, link: str) -> DataFrame:
+    """Predicted minus observed count per region and year, both on the count scale."""
+    return scored.select("year", "region", (F.exp(link) - F.col("count")).alias("bias"))
