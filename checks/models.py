@@ -4,8 +4,7 @@ from pyspark.sql import functions as F
 
 from checks import adapters as A
 from checks.base import check, rounded, rounded_sql as rs
-from checks.composites import rate_columns
-from checks.joins_and_aggregates import ORDER, REGION_SQL, admissions, region, severity
+from checks.joins_and_aggregates import ORDER, admissions, severity
 from checks.newton_sql import fit as fit_sql, recursive, t_two_sided
 from visitlens.operators import fits as M, grouped_fits as G
 from visitlens.operators.design import Factor, Numeric, Product
@@ -292,7 +291,6 @@ def coef_compare(spark, d):
     return both.select("predictor", *[rounded(F.col(c), 5).alias(c) for c in ("estimate_large", "estimate_small")])
 
 
-FIRST_NAMES = [n for n in RATE_NAMES]
 DIFF = "(a.estimate - b.estimate)"
 SPREAD = "sqrt(a.std_error * a.std_error + b.std_error * b.std_error)"
 WELCH = f"(pow({SPREAD}, 4) / (pow(a.std_error, 4) / (a.dof - 1) + pow(b.std_error, 4) / (b.dof - 1)))"

@@ -7,7 +7,7 @@ from checks.base import check, rounded, rounded_sql as rs
 from checks.joins_and_aggregates import LETTERS, ORDER, REGION_SQL, TOTALS, region, severity
 from visitlens.functions import fixed_values as fixed, scalars as S
 from visitlens.operators import levels as L, series as SE, summaries as Q, tables as T, visits as V
-from visitlens.plans import cohort as C, diagnosis as D
+from visitlens.plans import diagnosis as D
 from visitlens.plans.rates import counts_by_region_year, region_year_rates
 from visitlens.sources import tables as IO
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from decimal import Decimal
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, functions as F
@@ -81,11 +81,16 @@ class Design:
         return self.cells.select(RESPONSE, WEIGHT, OFFSET, *extra, *xs)
 
     def linear_predictor(self, estimates: Sequence[float]) -> Column:
-        total = F.lit(0.0)
-        for column, value in zip(self.columns.values(), estimates):
-            if value == value and value != 0.0:
-                total = total + column * F.lit(float(value))
-        return total
+        """Σ estimate × column over the cells; columns without an estimate count nothing."""
+        return dot(list(self.columns.values()), estimates)
+
+
+def dot(columns: Sequence[Column], values: Sequence[float]) -> Column:
+    """Σ value × column. The values form one array literal, so the generated code does not change with them
+    and repeated passes reuse its compiled form."""
+    known = [0.0 if v != v else float(v) for v in values]
+    products = F.zip_with(F.array(*columns), F.lit(known), lambda x, b: x * b)
+    return F.aggregate(products, F.lit(0.0), lambda total, v: total + v)
 
 
 def level_text(level) -> str:
@@ -158,10 +163,9 @@ def _levels(cells: DataFrame, factors: dict[str, Factor]) -> dict[str, list]:
 
 def cross_products(df: DataFrame, columns: Sequence[Column], weight: Column) -> np.ndarray:
     """C'WC over all rows: one JVM pass with tree aggregation, a small matrix on the driver."""
-    root = F.sqrt(weight)
-    scaled = df.select(*[(root * c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
-    assembled = VectorAssembler(inputCols=scaled.columns, outputCol="v").transform(scaled).select("v")
-    return RowMatrix(MLUtils.convertVectorColumnsFromML(assembled, "v")).computeGramianMatrix().toArray()
+    rows = df.select(F.array(*[c.cast("double") for c in columns]).alias("c"), F.sqrt(weight).alias("root"))
+    scaled = rows.select(array_to_vector(F.transform("c", lambda v: v * F.col("root"))).alias("v"))
+    return RowMatrix(MLUtils.convertVectorColumnsFromML(scaled, "v")).computeGramianMatrix().toArray()
 
 
 def independent_columns(gram: np.ndarray, tolerance: float = 1e-11) -> list[int]:

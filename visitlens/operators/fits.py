@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from visitlens.functions import special
 from visitlens.operators.design import (
-    INTERCEPT, OFFSET, RESPONSE, WEIGHT, Design, Term, build_design, cross_products, independent_columns,
+    INTERCEPT, OFFSET, RESPONSE, WEIGHT, Design, Term, build_design, cross_products, dot, independent_columns,
     inverse as invert,
 )
 from visitlens.operators.sizing import local_table, rows_if_small
@@ -197,22 +197,16 @@ def fit_negative_binomial(
     counts = _counts(design.cells)
     y, w = F.col(RESPONSE), F.col(WEIGHT)
 
-    def linear(values):
-        total = F.lit(0.0)
-        for column, value in zip(columns, values):
-            total = total + column * F.lit(float(value))
-        return total
-
     beta = start.estimates[kept]
-    mu = F.exp(linear(beta) + F.col(OFFSET))
+    mu = F.exp(dot(columns, beta) + F.col(OFFSET))
     theta = n / design.cells.agg(F.sum(w * F.pow(y / mu - 1, 2))).first()[0]
     for step in range(1, max_steps + 1):
         updated = _theta_step(design.cells, counts, mu, theta, n)
         t = F.lit(updated)
-        system = cross_products(design.cells, [*columns, linear(beta) + (y - mu) / mu], w * mu / (1 + mu / t))
+        system = cross_products(design.cells, [*columns, dot(columns, beta) + (y - mu) / mu], w * mu / (1 + mu / t))
         moved = np.linalg.solve(system[:-1, :-1], system[:-1, -1])
         change = max(abs(math.log(updated / theta)), float(np.max(np.abs(moved - beta))))
-        beta, theta, mu = moved, updated, F.exp(linear(moved) + F.col(OFFSET))
+        beta, theta, mu = moved, updated, F.exp(dot(columns, moved) + F.col(OFFSET))
         if change < tol or theta >= THETA_MAXIMUM:
             break
     t = F.lit(theta)

@@ -91,7 +91,7 @@ def quantiles(
     # Equal values are interchangeable, so counting them first shrinks what has to be ranked.
     distinct = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_copies"))
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    placed = _cumulative(distinct, keys, value)
+    placed = cumulative_counts(distinct, keys, value)
     placed = join_per_key(placed, small_table(sizes), keys, match_nulls=True)
     picks = []
     for i, p in enumerate(probabilities):
@@ -108,8 +108,8 @@ def quantiles(
     return picked.select(*keys, F.array(*values).alias(out))
 
 
-def _cumulative(distinct: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Rows before each distinct value of its group, through a two-level running sum.
+def cumulative_counts(distinct: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """`_before`: rows before each distinct value (`_copies` rows each) of its group, by a two-level running sum.
 
     Values are ranked without holding a group in one task; ranks are cut into blocks, the running sum
     is taken inside a block, and the block totals, few per group, carry the sums of earlier blocks.
