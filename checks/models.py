@@ -1,5 +1,7 @@
 """Model fits and inference. The SQL solves the same normal equations by its own route."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from checks import adapters as A
@@ -207,10 +209,12 @@ def poisson_glm(spark, d):
     return terms_out(poisson_fit(spark, d).terms(spark))
 
 
-@check("negbin_glm")
+NEGATIVE_SQL = recursive(f"{A.views('rates')}, {fit_sql(POISSON_CELLS, RATE_NAMES, 'negative_binomial', 60)}")
+
+
+@check("negbin_glm", NEGATIVE_SQL + TERMS_SQL)
 def negbin_glm(spark, d):
-    terms = [Numeric("year_since"), Factor("gender"), Numeric("urgency"), Factor("region3"), LOG_POPULATION, Numeric("patient_maximum")]
-    return M.fit_negative_binomial(severity(spark, d), terms, "severity").terms(spark)
+    return terms_out(M.fit_negative_binomial(rates(spark, d), RATE_TERMS, "count", "ln(population)").terms(spark))
 
 
 @check("prior_terms", with_fit(["responses"], LOGIT_CELLS, LOGIT_NAMES, "binomial") + f"SELECT term, {rs('estimate', 5)} AS mean, {rs('2 * std_error', 5)} AS scale FROM terms")
@@ -270,9 +274,8 @@ def error_bars(spark, d):
     return compared_odds(spark, d)
 
 
-def second_fit(cells, names, views, prefix, family="gaussian"):
+def second_fit(cells, names, prefix, family="gaussian"):
     """The CTEs of another fit under a prefix, for queries that need two."""
-    import re
     text = fit_sql(cells, names, family)
     return re.sub(r"\b(cells|it|fitted|model|raw_terms|terms)\b", rf"{prefix}_\1", text)
 
@@ -281,7 +284,7 @@ SMALL_NAMES = ["(Intercept)", "sexO", "sexP", "stay_hours"]
 SMALL_CELLS = cell_sql(["CAST(sex = 'O' AS INTEGER)", "CAST(sex = 'P' AS INTEGER)", "stay_hours"], "response", "responses", where="status = 'O'")
 
 
-@check("coef_compare", with_fit(["responses"], LOGIT_CELLS, LOGIT_NAMES, "binomial").rstrip() + ", " + second_fit(SMALL_CELLS, SMALL_NAMES, None, "sm", "binomial")
+@check("coef_compare", with_fit(["responses"], LOGIT_CELLS, LOGIT_NAMES, "binomial").rstrip() + ", " + second_fit(SMALL_CELLS, SMALL_NAMES, "sm", "binomial")
        + f""" SELECT replace(term, 'sex', '') AS predictor, {rs('coalesce(a.estimate, 0)', 5)} AS estimate_large, {rs('coalesce(b.estimate, 0)', 5)} AS estimate_small
        FROM terms a FULL JOIN sm_terms b USING (term)""")
 def coef_compare(spark, d):
@@ -296,7 +299,7 @@ SPREAD = "sqrt(a.std_error * a.std_error + b.std_error * b.std_error)"
 WELCH = f"(pow({SPREAD}, 4) / (pow(a.std_error, 4) / (a.dof - 1) + pow(b.std_error, 4) / (b.dof - 1)))"
 
 
-@check("coef_diff_test", with_fit(["rates", "rates_first"], rate_cells("rates"), RATE_NAMES).rstrip() + ", " + second_fit(rate_cells("rates_first"), RATE_NAMES, None, "fv")
+@check("coef_diff_test", with_fit(["rates", "rates_first"], rate_cells("rates"), RATE_NAMES).rstrip() + ", " + second_fit(rate_cells("rates_first"), RATE_NAMES, "fv")
        + f""", j AS (SELECT term, {DIFF} AS difference, {DIFF} / {SPREAD} AS t_value, {WELCH} AS df FROM terms a JOIN fv_terms b USING (term))
        SELECT term, {rs('difference', 4)} AS difference, {rs('t_value', 4)} AS t_value, {rs('df', 3)} AS df, {rs(t_two_sided('t_value', 'df'), 4)} AS p_value FROM j""")
 def coef_diff_test(spark, d):

@@ -62,7 +62,9 @@ def _sums(p: int, weight: str, target: str) -> str:
 def fit(cells: str, names: list[str], family: str = "gaussian", steps: int = 12) -> str:
     """CTEs `model` (b, v, dispersion, dof) and `terms` over a cells query with x0 …, y, off, w."""
     p = len(names)
-    if family == "gaussian":
+    if family == "negative_binomial":
+        last = _negative_binomial(p, steps)
+    elif family == "gaussian":
         final = _solve(f"(SELECT count(*) AS dummy, {_sums(p, '1', 'y - off')} FROM cells)", p, "dummy")
         last = f"fitted AS {final}"
     else:
@@ -96,6 +98,24 @@ def fit(cells: str, names: list[str], family: str = "gaussian", steps: int = 12)
         terms AS (SELECT term, estimate, std_error, estimate / std_error AS statistic, {tail('estimate / std_error')} AS p_value, dof FROM raw_terms)"""
 
 
+def _negative_binomial(p: int, steps: int, h: float = 1e-3) -> str:
+    """Newton steps for the coefficients beside Newton steps for log(theta) with differenced likelihoods."""
+    eta = " + ".join(f"b{i} * x{i}" for i in range(p))
+    vs = ", ".join(f"v_{i}_{j}" for i in range(p) for j in range(i, p))
+    b = ", ".join(f"b{i}" for i in range(p))
+
+    def loglik(lt):
+        return f"sum(w * (lgamma(y + exp({lt})) - lgamma(exp({lt})) + exp({lt}) * ({lt}) - (y + exp({lt})) * ln(exp({lt}) + mu)))"
+
+    sums = f"""(SELECT k, lt, {loglik('lt')} AS l0, {loglik(f'(lt + {h})')} AS lp, {loglik(f'(lt - {h})')} AS lm,
+        {_sums(p, '(mu / (1 + mu / exp(lt)))', 'eta + (y - mu) / mu')} FROM (SELECT *, {eta} AS eta, exp({eta} + off) AS mu FROM it, cells) GROUP BY k, lt)"""
+    step = f"greatest(-1.0, least(1.0, (lp - lm) / (2 * {h}) / abs((lp - 2 * l0 + lm) / ({h} * {h}))))"
+    zeros = ", ".join(["CAST(0 AS DOUBLE)"] * (p - 1 + p * (p + 1) // 2))
+    return f"""it(k, lt, {b}, {vs}) AS (SELECT 0, ln(CAST(10 AS DOUBLE)), (SELECT ln(sum(w * y) / sum(w * exp(off))) FROM cells), {zeros} UNION ALL
+        SELECT k + 1, lt + step, {b}, {vs} FROM {_solve(f'(SELECT *, {step} AS step FROM {sums})', p, 'k, lt, step')} WHERE k < {steps}),
+        fitted AS (SELECT * FROM it WHERE k = {steps})"""
+
+
 def recursive(with_clause: str) -> str:
     return with_clause.replace("WITH ", "WITH RECURSIVE ", 1)
 

@@ -7,7 +7,7 @@ from checks.base import check, rounded, rounded_sql as rs
 from checks.joins_and_aggregates import REGION_SQL, region, severity
 from checks.models import (
     AUGMENT, BACK_REGION, ETA, LINES, LOG_POPULATION, MAIN_TERMS, OLS_CELLS, OLS_NAMES, RATE_NAMES, RATE_TERMS, augmented, bias_by_region, cell_sql,
-    letter_years, main_fit, rate_cells, rate_fit, rates, rates_filled, with_fit,
+    NEGATIVE_SQL, POISSON_CELLS, letter_years, main_fit, rate_cells, rate_fit, rates, rates_filled, second_fit, with_fit,
 )
 from checks.newton_sql import _solve, normal_quantile, normal_two_sided
 from visitlens.operators import distributions as X, fits as M, forest as FO, normality as N, plotdata as P, series as SE, smooth_and_mixed as SM
@@ -67,9 +67,21 @@ def overdispersion(spark, d):
     return o.select(rounded(F.col("mean")).alias("mean"), rounded(F.col("variance"), 4).alias("variance"), rounded(F.col("ratio")).alias("ratio"))
 
 
-@check("aic_compare")
+POISSON_MU = f"exp({ETA} + off)"
+KNOWN_RATES = "(SELECT * FROM rates WHERE population IS NOT NULL)"
+
+
+@check("aic_compare", NEGATIVE_SQL.rstrip() + ", " + second_fit(POISSON_CELLS, RATE_NAMES, "po", "poisson") + f""",
+    {LOGNORMAL.replace('FROM rates', f'FROM {KNOWN_RATES}')}, {PARETO.replace('FROM rates', f'FROM {KNOWN_RATES}')},
+    pois AS (SELECT 12 - 2 * sum(w * (y * ln({POISSON_MU}) - {POISSON_MU} - lgamma(y + 1))) AS aic FROM po_cells, po_model),
+    nbin AS (SELECT 14 - 2 * sum(w * (lgamma(y + th) - lgamma(th) - lgamma(y + 1) + th * ln(th / (th + mu)) + y * ln(mu / (th + mu)))) AS aic
+        FROM (SELECT *, exp(lt) AS th, {POISSON_MU} AS mu FROM cells, model))
+    SELECT 'Log-Normal' AS model, {rs('4 - 2 * (-n / 2.0 * ln(2 * pi()) - n * ln(sd_log) - (n - 1) / 2.0)', 3)} AS aic_as_given, {rs('4 - 2 * (-n / 2.0 * ln(2 * pi()) - n * ln(sd_ml) - n / 2.0 - sum_log)', 3)} AS aic_comparable FROM l
+    UNION ALL SELECT 'Pareto', {rs('4 - 2 * (' + PARETO_LL.format(a='shape', s='scale') + ')', 3)}, {rs('4 - 2 * (' + PARETO_LL.format(a='shape_ml', s='scale_ml') + ')', 3)} FROM p
+    UNION ALL SELECT 'Poisson', {rs('aic', 3)}, {rs('aic', 3)} FROM pois UNION ALL SELECT 'Negative Binomial', {rs('aic', 3)}, {rs('aic', 3)} FROM nbin""")
 def aic_compare(spark, d):
-    return X.compare_aic(rates(spark, d), "count", RATE_TERMS, "ln(population)")
+    table = X.compare_aic(rates(spark, d).filter("population is not null"), "count", RATE_TERMS, "ln(population)")
+    return table.select("model", *[rounded(F.col(c), 3).alias(c) for c in ("aic_as_given", "aic_comparable")])
 
 
 # --- tests -----------------------------------------------------------------------------------
