@@ -54,6 +54,19 @@ def _beta_fraction(a, b, x, steps=400):
     return h
 
 
+def _log_beta(a, b):
+    """log B(a, b); for a large argument the gamma ratio is expanded, as the plain difference cancels."""
+    big, small = np.maximum(a, b), np.minimum(a, b)
+    correction = lambda z: 1 / (12 * z) - 1 / (360 * z**3)
+    far = np.maximum(big, 1e3)
+    ratio = np.where(
+        big > 1e3,
+        (far + small - 0.5) * np.log1p(small / far) + small * (np.log(far) - 1) + correction(far + small) - correction(far),
+        log_gamma(big + small) - log_gamma(big),
+    )
+    return log_gamma(small) - ratio
+
+
 def beta_cdf(x, a, b):
     """Regularised incomplete beta function."""
     x, a, b = np.broadcast_arrays(*(np.asarray(v, dtype=float) for v in (x, a, b)))
@@ -64,7 +77,7 @@ def beta_cdf(x, a, b):
     y = np.where(swap, 1.0 - x, x)
     inside = np.clip(y, 1e-300, 1.0)
     front = np.exp(
-        log_gamma(p + q) - log_gamma(p) - log_gamma(q) + p * np.log(inside) + q * np.log1p(-np.clip(y, 0, 1 - 1e-16))
+        -_log_beta(p, q) + p * np.log(inside) + q * np.log1p(-np.clip(y, 0, 1 - 1e-16))
     )
     part = np.where(y <= 0, 0.0, front * _beta_fraction(p, q, inside) / p)
     return np.where(swap, 1.0 - part, part)

@@ -74,6 +74,8 @@ def number_rows(
 ) -> DataFrame:
     """`row_number` within `keys`; groups of heavy keys are spread over range partitions."""
     keys = list(keys)
+    if not keys:
+        return global_index(df, order, out).withColumn(out, F.col(out) + 1)
     hot = hot_tokens(df, keys) if hot is None else hot
     numbered = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")
     if not hot:

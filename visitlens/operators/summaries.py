@@ -83,6 +83,10 @@ def quantiles(
     rows are ranked (heavy groups over range partitions) and only the ranks next to each quantile
     are kept.
     """
+    if not keys:
+        # One constant key makes the whole table a single heavy group.
+        whole = df.select(F.lit(0).alias("_all"), value)
+        return quantiles(whole, ["_all"], value, probabilities, out, spread).drop("_all")
     keys = list(keys)
     rows = df.select(*keys, F.col(value).cast("double").alias(value)).filter(F.col(value).isNotNull())
     spread = not is_small_input(df) if spread is None else spread

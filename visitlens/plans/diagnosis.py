@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from visitlens.functions import fixed_values as fixed, scalars as S
 from visitlens.operators.grouped_fits import augment_by_group, fit_by_group, fit_statistics, significant
 from visitlens.operators.sizing import rows_if_small, small_table
-from visitlens.operators.tables import column_sums, pivot_longer, stack_columns, sum_across
+from visitlens.operators.tables import stack_columns
 
 
 def blank_missing(visits: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -37,19 +37,34 @@ def letter_counts(visits: DataFrame, columns: Sequence[str], letters: Sequence[s
     return blanked.withColumns({f"{x}_total": S.count_prefixed(columns, x) for x in letters})
 
 
+def _letters_with_blanks(visits: DataFrame, columns: Sequence[str], *keep) -> DataFrame:
+    """One row per recorded diagnosis, and one with a null category for a visit without any."""
+    codes = F.array_compact(F.array(*[S.na_if(F.col(c), fixed.NO_DIAGNOSIS) for c in columns]))
+    letters = F.transform(codes, lambda code: F.substring(code, F.lit(1), F.lit(1)))
+    return visits.select(*keep, F.explode_outer(letters).alias("letter"))
+
+
 def letter_totals(visits: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(category, total) over all visits."""
-    letters = distinct_letters(visits, columns)
-    return column_sums(letter_counts(visits, columns, letters), [f"{x}_total" for x in letters], "category", "total")
+    """(category, total) over all visits, counted in long form so the letters need no pass of their own."""
+    counted = _letters_with_blanks(visits, columns).filter("letter is not null").groupBy("letter").agg(F.count(F.lit(1)).alias("total"))
+    return counted.select(F.concat("letter", F.lit("_total")).alias("category"), "total")
 
 
 def letters_by_year(visits: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(year, category, total) for visits of known gender and urgency, categories never seen in a year at 0."""
-    letters = distinct_letters(visits, columns)
-    kept = visits.filter((F.col("gender") != 0) & F.col("urgency").isNotNull())
-    totals = [f"{x}_total" for x in letters]
-    yearly = sum_across(letter_counts(kept, columns, letters), "year", totals)
-    return pivot_longer(yearly.select("year", *[F.col(c).cast("long").alias(c) for c in totals]), ["year"], "category", "total")
+    """(year, category, total) for visits of known gender and urgency, categories never seen in a year at 0.
+
+    One pass counts (year, letter); the grid of years with such visits by all letters comes from the counts.
+    """
+    kept = F.coalesce((F.col("gender") != 0) & F.col("urgency").isNotNull(), F.lit(False))
+    rows = _letters_with_blanks(visits, columns, "year", kept.alias("kept"))
+    counted = small_table(rows.groupBy("year", "letter").agg(F.count_if("kept").alias("total")))
+    shown = counted.join(counted.filter("total > 0").select("year").distinct(), "year", "left_semi")
+    letters = counted.filter("letter is not null").select("letter").distinct()
+    grid = shown.select("year").distinct().withColumn(
+        "letter", F.explode(letters.agg(F.array_sort(F.collect_set("letter"))).scalar())
+    )
+    filled = grid.join(shown, ["year", "letter"], "left").fillna({"total": 0})
+    return filled.select("year", F.concat("letter", F.lit("_total")).alias("category"), "total")
 
 
 def trend_report(visits: DataFrame, columns: Sequence[str], level: float = fixed.SIGNIFICANCE) -> DataFrame:
