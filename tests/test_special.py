@@ -14,7 +14,7 @@ def jvm(spark):
     return spark.sparkContext._jvm.org.apache.commons.math3
 
 
-@pytest.mark.parametrize("df", [1.0, 2.0, 5.0, 33.0, 1e4, 6e7])
+@pytest.mark.parametrize("df", [1.0, 2.0, 5.0, 33.0, 1e4])
 def test_t_tails(jvm, df):
     ts = np.array([0.0, 0.3, 1.0, 2.5, 8.0, -1.7])
     law = jvm.distribution.TDistribution(df)
@@ -22,6 +22,14 @@ def test_t_tails(jvm, df):
     np.testing.assert_allclose(special.t_two_sided(ts, np.full(6, df)), want, rtol=1e-8, atol=1e-14)
 
 
+def test_t_tails_of_very_many_degrees_of_freedom():
+    """There the class-path library loses digits itself, so the normal expansion is the measure."""
+    t, df = 2.5, 6e7
+    density = math.exp(-t * t / 2) / math.sqrt(2 * math.pi)
+    want = math.erfc(t / math.sqrt(2)) + 2 * density * (t**3 + t) / (4 * df)
+    assert float(special.t_two_sided(t, df)) == pytest.approx(want, rel=1e-8)
+
+
 @pytest.mark.parametrize("df1,df2", [(1.0, 5.0), (3.0, 40.0), (7.0, 9_998.0)])
 def test_f_tails_and_quantiles(jvm, df1, df2):
     law = jvm.distribution.FDistribution(df1, df2)

@@ -67,30 +67,31 @@ def _log_beta(a, b):
     return log_gamma(small) - ratio
 
 
-def beta_cdf(x, a, b):
-    """Regularised incomplete beta function."""
-    x, a, b = np.broadcast_arrays(*(np.asarray(v, dtype=float) for v in (x, a, b)))
+def beta_cdf(x, a, b, rest=None):
+    """Regularised incomplete beta function; `rest` is 1 − x where the caller knows it more exactly."""
+    x = np.asarray(x, dtype=float)
+    x, rest, a, b = np.broadcast_arrays(*(np.asarray(v, dtype=float) for v in (x, 1.0 - x if rest is None else rest, a, b)))
     if not x.size:
         return x.copy()
     swap = x > (a + 1.0) / (a + b + 2.0)
     p, q = np.where(swap, b, a), np.where(swap, a, b)
-    y = np.where(swap, 1.0 - x, x)
-    inside = np.clip(y, 1e-300, 1.0)
-    front = np.exp(
-        -_log_beta(p, q) + p * np.log(inside) + q * np.log1p(-np.clip(y, 0, 1 - 1e-16))
-    )
-    part = np.where(y <= 0, 0.0, front * _beta_fraction(p, q, inside) / p)
+    inside = np.clip(np.where(swap, rest, x), 1e-300, 1.0)
+    outside = np.clip(np.where(swap, x, rest), 1e-300, 1.0)
+    log_of = lambda value, other: np.where(value > 0.5, np.log1p(-np.minimum(other, 0.5)), np.log(value))
+    front = np.exp(-_log_beta(p, q) + p * log_of(inside, outside) + q * log_of(outside, inside))
+    part = np.where(inside <= 1e-300, 0.0, front * _beta_fraction(p, q, inside) / p)
     return np.where(swap, 1.0 - part, part)
 
 
 def t_two_sided(t, df):
     t, df = np.asarray(t, dtype=float), np.asarray(df, dtype=float)
-    return beta_cdf(df / (df + t * t), df / 2.0, 0.5)
+    return beta_cdf(df / (df + t * t), df / 2.0, 0.5, t * t / (df + t * t))
 
 
 def f_upper(f, df1, df2):
     f = np.asarray(f, dtype=float)
-    return beta_cdf(df2 / (df2 + df1 * f), np.asarray(df2) / 2.0, np.asarray(df1) / 2.0)
+    whole = df2 + df1 * f
+    return beta_cdf(df2 / whole, np.asarray(df2) / 2.0, np.asarray(df1) / 2.0, df1 * f / whole)
 
 
 def f_quantile(p, df1, df2):
