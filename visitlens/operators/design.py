@@ -1,7 +1,8 @@
 """Model terms to numeric columns, and the cross-product pass every fit is built on.
 
 Rows are first reduced to cells: one row per distinct combination of the used columns with its count.
-Fits iterate over the cells, never over the raw rows again.
+The cells are made durable, so fits iterate over them and nothing re-reads the raw rows, not even after
+an executor is lost.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, functions as F
 
+from visitlens.operators.sizing import durable
+
 MAX_LEVELS = 2_000
 INTERCEPT = "(Intercept)"
 WEIGHT, RESPONSE, OFFSET = "_w", "_y", "_offset"
@@ -119,7 +122,7 @@ def build_design(
     used = {**raw, RESPONSE: F.expr(response).cast("double"), OFFSET: F.expr(offset or "0").cast("double")}
     rows = df.select(*[c.alias(n) for n, c in used.items()], *[k for k in keep if k not in used]).dropna(subset=list(used))
     if to_cells:
-        cells = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).cast("double").alias(WEIGHT)).persist()
+        cells = durable(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).cast("double").alias(WEIGHT)))
     else:
         cells = rows.withColumn(WEIGHT, F.lit(1.0))
     factors = {f.name: f for t in terms for f in ((t.left, t.right) if isinstance(t, Product) else (t,)) if isinstance(f, Factor)}

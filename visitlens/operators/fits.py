@@ -19,7 +19,7 @@ from visitlens.operators.design import (
     INTERCEPT, OFFSET, RESPONSE, WEIGHT, Design, Term, build_design, cross_products, dot, independent_columns,
     inverse as invert,
 )
-from visitlens.operators.sizing import local_table, rows_if_small
+from visitlens.operators.sizing import durable, local_table, rows_if_small
 
 TERMS_SCHEMA = "term string, estimate double, std_error double, statistic double, p_value double"
 
@@ -126,6 +126,8 @@ def fit_glm(df: DataFrame, terms: Sequence[Term], response: str, family: str, of
     design = build_design(df, terms, response, offset, **options)
     if family == "binomial":
         design.cells = _trials(design.cells)
+    elif not options.get("to_cells", True):
+        design.cells = durable(design.cells)
     columns = list(design.columns.values())
     kept = independent_columns(cross_products(design.cells, columns, F.col(WEIGHT)))
     slopes = [i for i in kept if i]
@@ -162,7 +164,7 @@ def _trials(cells: DataFrame) -> DataFrame:
     """Yes and no cells of equal predictors as one row: share of yes, number of trials."""
     keys = [c for c in cells.columns if c not in (RESPONSE, WEIGHT)]
     yes = F.sum(F.col(WEIGHT) * F.col(RESPONSE)) / F.sum(WEIGHT)
-    return cells.groupBy(*keys).agg(yes.alias(RESPONSE), F.sum(WEIGHT).alias(WEIGHT)).persist()
+    return durable(cells.groupBy(*keys).agg(yes.alias(RESPONSE), F.sum(WEIGHT).alias(WEIGHT)))
 
 
 def _counts(cells: DataFrame):

@@ -1,7 +1,8 @@
 """Keyed operations that stay balanced when one key holds a large part of the rows.
 
-Heavy keys are found with one narrow scan (`freqItems` never misses a key above its support) and are
-at most `1 / share` many. Rows of other keys take the plain one-shuffle plan.
+A key is heavy when it holds more than half an average shuffle partition. Candidates come from one
+narrow scan (`freqItems` never misses a key above its support) and are then counted exactly, so an even
+table has none and takes the plain one-shuffle plan.
 """
 
 from __future__ import annotations
@@ -13,8 +14,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from visitlens.operators.sizing import durable, is_small_input, local_table, range_partitions, small_table
 
-HOT_SHARE = 0.01
-SALTS = 64
+SMALLEST_SHARE = 1e-4
+LARGEST_SHARE = 0.05
+MOST_SALTS = 4_096
 _POSITION_BITS = 33
 
 
@@ -23,12 +25,18 @@ def _token(keys: Sequence[str]) -> Column:
     return F.xxhash64(*keys)
 
 
-def hot_tokens(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE, force: bool = False) -> list[int]:
-    """Hashes of the keys that may hold more than `share` of the rows; none for a small input."""
+def hot_tokens(df: DataFrame, keys: Sequence[str], share: float | None = None, force: bool = False) -> list[int]:
+    """Hashes of the keys that hold more than `share` of the rows; none for a small input."""
     if not force and is_small_input(df):
         return []
-    found = df.select(_token(keys).alias("token")).stat.freqItems(["token"], share).first()
-    return sorted(found[0] or [])
+    share = share or min(max(0.5 / range_partitions(df), SMALLEST_SHARE), LARGEST_SHARE)
+    tokens = df.select(_token(keys).alias("token"))
+    candidates = tokens.stat.freqItems(["token"], share).first()[0] or []
+    if not candidates:
+        return []
+    counted = tokens.groupBy(F.when(F.col("token").isin(candidates), F.col("token")).alias("token")).count().collect()
+    total = sum(n for _, n in counted)
+    return sorted(token for token, n in counted if token is not None and n > share * total)
 
 
 def global_index(df: DataFrame, order: Sequence[str | Column], out: str = "position") -> DataFrame:
@@ -113,9 +121,10 @@ def join_per_key(
         other = right[f"_{key}_right"]
         condition &= left[key].eqNullSafe(other) if match_nulls else left[key] == other
     if hot:
-        salt = F.pmod(F.xxhash64(*left.columns, F.spark_partition_id()), F.lit(SALTS)).cast("int")
+        salts = min(max(range_partitions(left), 8), MOST_SALTS)
+        salt = F.pmod(F.xxhash64(*left.columns, F.spark_partition_id()), F.lit(salts)).cast("int")
         copies = F.when(
-            _token([f"_{k}_right" for k in keys]).isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))
+            _token([f"_{k}_right" for k in keys]).isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))
         ).otherwise(F.array(F.lit(0)))
         salted = left.withColumn("_salt", F.when(_token(keys).isin(hot), salt).otherwise(0))
         right = right.withColumn("_salt_right", F.explode(copies))

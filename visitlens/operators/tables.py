@@ -29,7 +29,11 @@ def cross_grid(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def zero_fill_grid(counts: DataFrame, a: str, b: str, count: str) -> DataFrame:
-    """The count table completed to its full grid; combinations never seen count 0."""
+    """The count table completed to its full grid; combinations never seen count 0.
+
+    The counts are used three times, so a table proven small is computed once and kept.
+    """
+    counts = small_table(counts)
     grid = cross_grid(counts, a, b)
     return grid.join(counts, [a, b], "left").fillna({count: 0})
 

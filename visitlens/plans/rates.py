@@ -35,8 +35,9 @@ def region_year_rates(visits: DataFrame, population: DataFrame) -> DataFrame:
 
 
 def region_year_rates_first(visits: DataFrame, population: DataFrame, order: list[str]) -> DataFrame:
-    """The same on each patient's first visit."""
-    return region_year_rates(first_visits(visits, "patient_id", order), population)
+    """The same on each patient's first visit; only the columns counted travel through the aggregate."""
+    needed = visits.select(*dict.fromkeys(["patient_id", *order, "year", "region"]))
+    return region_year_rates(first_visits(needed, "patient_id", order), population)
 
 
 def region_year_rates_filled(visits: DataFrame, population: DataFrame) -> DataFrame:
