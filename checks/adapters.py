@@ -6,6 +6,7 @@ Every adapter has its Spark form and the same definition as a SQL view (`views`)
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from visitlens.functions import scalars as S
 from visitlens.operators.sizing import local_table, small_table
@@ -14,6 +15,24 @@ from visitlens.sources.tables import scan_table
 DX_SLOTS = [f"ICD{i}" for i in range(1, 8)]
 
 
+# Schemas of the test tables: with them a scan needs no job of its own to read file footers.
+SCHEMAS = {
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+    "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+}
+
+
+def scan(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return scan_table(spark, d, name, StructType.fromDDL(SCHEMAS[name]))
+
+
 def region_code() -> Column:
     key = F.col("n_regionkey")
     return F.when(key == 2, F.lit("1.5").cast("decimal(4,1)")).otherwise(key.cast("decimal(4,1)"))
@@ -21,9 +40,9 @@ def region_code() -> Column:
 
 def visits(spark: SparkSession, d: str) -> DataFrame:
     joined = (
-        scan_table(spark, d, "orders")
-        .join(scan_table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(scan_table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        scan(spark, d, "orders")
+        .join(scan(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(scan(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     )
     year = F.year("o_orderdate")
     digit = F.substring("o_orderpriority", 1, 1).cast("int")
@@ -45,9 +64,9 @@ def visits(spark: SparkSession, d: str) -> DataFrame:
 def population(spark: SparkSession, d: str) -> DataFrame:
     """(year, region, log10_pop) with a total row per year; (2001, 4) is left out so that a key is missing."""
     counted = (
-        scan_table(spark, d, "lineitem")
-        .join(scan_table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(scan_table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+        scan(spark, d, "lineitem")
+        .join(scan(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(scan(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         .groupBy(F.year("l_shipdate").alias("year"), region_code().alias("region"))
         .agg(F.count(F.lit(1)).alias("n"))
         .filter(~((F.col("year") == 2001) & (F.col("region") == 4)))
@@ -63,8 +82,8 @@ def diagnoses(spark: SparkSession, d: str) -> DataFrame:
         F.substring("p_type", 1, 1), F.lpad(F.col("p_size").cast("string"), 2, "0"), F.lit("."),
         F.col("l_linenumber").cast("string"),
     )
-    lines = scan_table(spark, d, "lineitem").join(
-        scan_table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")
+    lines = scan(spark, d, "lineitem").join(
+        scan(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")
     )
     slots = [
         F.coalesce(F.min(F.when(F.col("l_linenumber") == i, code)), F.lit("-")).alias(name)
@@ -80,8 +99,8 @@ def diagnosed_visits(spark: SparkSession, d: str) -> DataFrame:
 
 def responses(spark: SparkSession, d: str) -> DataFrame:
     """Arrival and, for some, death, with the 90-day response."""
-    lines = scan_table(spark, d, "lineitem").join(
-        scan_table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")
+    lines = scan(spark, d, "lineitem").join(
+        scan(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")
     )
     rows = lines.select(
         F.col("l_orderkey").alias("visit_key"),
@@ -100,7 +119,7 @@ def care_paths(spark: SparkSession, d: str) -> DataFrame:
     """One path per user and day: event types in time order, "; " between them."""
     steps = F.sort_array(F.collect_list(F.struct("ts", "event_id", "event_type")))
     return (
-        scan_table(spark, d, "events")
+        scan(spark, d, "events")
         .groupBy(F.col("user_id").alias("patient_id"), F.to_date("ts").alias("visit_date"))
         .agg(F.array_join(F.transform(steps, lambda s: s["event_type"]), "; ").alias("care_path"))
     )
@@ -144,11 +163,11 @@ def departments(spark: SparkSession) -> DataFrame:
 
 
 def series(spark: SparkSession, d: str) -> DataFrame:
-    return scan_table(spark, d, "events").select("ts", "event_id", "user_id", "value")
+    return scan(spark, d, "events").select("ts", "event_id", "user_id", "value")
 
 
 def draws(spark: SparkSession, d: str) -> DataFrame:
-    return scan_table(spark, d, "embeddings").select(
+    return scan(spark, d, "embeddings").select(
         (F.col("vec_id") % 4).cast("int").alias("chain"),
         F.floor(F.col("vec_id") / 4).cast("int").alias("iter"),
         F.posexplode("embedding").alias("place", "draw"),

@@ -85,7 +85,7 @@ def map_lookup(spark, d):
         A.departments(spark).withColumn("NAME", S.clean_department(F.col("NAME"))), "NAME",
         ["ICU", "ER", "HOSPITAL ADMISSION", "Rehabilitation"],
     )
-    events = IO.scan_table(spark, d, "events").select("event_id", "event_type")
+    events = A.scan(spark, d, "events").select("event_id", "event_type")
     return T.lookup(events, F.col("event_type"), table, "NAME", "category", "category", "Uncategorized").select("event_id", "category")
 
 

@@ -23,9 +23,9 @@ def scan_table(spark, d):
 
 @check("scan_lookup", "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
 def scan_lookup(spark, d):
-    path = IO.write_csv(IO.scan_table(spark, d, "nation"), f"{scratch(spark)}/nation")
+    path = IO.write_csv(A.scan(spark, d, "nation"), f"{scratch(spark)}/nation")
     nation = IO.scan_csv(spark, path, "n_nationkey int, n_name string, n_regionkey int")
-    customer = IO.scan_table(spark, d, "customer")
+    customer = A.scan(spark, d, "customer")
     return customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -76,7 +76,7 @@ def sink_trend(spark, d):
     WHEN 'BUILDING' THEN 'site' END AS kind FROM customer""")
 def inline_dict(spark, d):
     kinds = IO.lookup_table(spark, [("AUTOMOBILE", "wheels"), ("MACHINERY", "wheels"), ("BUILDING", "site")], "c_mktsegment string, kind string")
-    return IO.scan_table(spark, d, "customer").join(kinds, "c_mktsegment", "left").select("c_custkey", "kind")
+    return A.scan(spark, d, "customer").join(kinds, "c_mktsegment", "left").select("c_custkey", "kind")
 
 
 @check("profile_shape", """SELECT (SELECT count(*) FROM orders) AS n_rows, * FROM (VALUES (1, 'o_orderkey', 'bigint'),
@@ -99,12 +99,12 @@ def select_rename(spark, d):
 
 @check("rename_cols", "SELECT c_custkey AS patient, c_name, c_nationkey AS country, c_acctbal, c_mktsegment FROM customer")
 def rename_cols(spark, d):
-    return IO.scan_table(spark, d, "customer").withColumnsRenamed({"c_custkey": "patient", "c_nationkey": "country"})
+    return A.scan(spark, d, "customer").withColumnsRenamed({"c_custkey": "patient", "c_nationkey": "country"})
 
 
 @check("drop_cols", "SELECT c_custkey, c_nationkey, c_mktsegment FROM customer")
 def drop_cols(spark, d):
-    return IO.scan_table(spark, d, "customer").drop("c_name", "c_acctbal")
+    return A.scan(spark, d, "customer").drop("c_name", "c_acctbal")
 
 
 @check("select_by_pattern", f"{A.views('diagnoses')} SELECT {', '.join(A.DX_SLOTS)} FROM diagnoses")

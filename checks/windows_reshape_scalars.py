@@ -124,7 +124,7 @@ def nest_map_unnest(spark, d):
 
 @check("flag_matrix_to_map", f"{A.views('departments')} SELECT name, arg_max(category, place) AS category FROM departments GROUP BY name")
 def flag_matrix_to_map(spark, d):
-    seen = IO.scan_table(spark, d, "events").select("event_type").distinct()
+    seen = A.scan(spark, d, "events").select("event_type").distinct()
     matrix = A.departments(spark).withColumn("NAME", S.clean_department(F.col("NAME")))
     matrix = matrix.join(seen, F.col("NAME") == F.col("event_type"), "left_semi")
     found = T.flag_matrix_to_map(matrix, "NAME", ["ICU", "ER", "HOSPITAL ADMISSION", "Rehabilitation"])

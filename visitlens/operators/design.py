@@ -168,7 +168,8 @@ def cross_products(df: DataFrame, columns: Sequence[Column], weight: Column) ->
     """C'WC over all rows: one JVM pass with tree aggregation, a small matrix on the driver."""
     rows = df.select(F.array(*[c.cast("double") for c in columns]).alias("c"), F.sqrt(weight).alias("root"))
     scaled = rows.select(array_to_vector(F.transform("c", lambda v: v * F.col("root"))).alias("v"))
-    return RowMatrix(MLUtils.convertVectorColumnsFromML(scaled, "v")).computeGramianMatrix().toArray()
+    vectors = MLUtils.convertVectorColumnsFromML(scaled, "v")
+    return RowMatrix(vectors, 0, len(columns)).computeGramianMatrix().toArray()
 
 
 def independent_columns(gram: np.ndarray, tolerance: float = 1e-11) -> list[int]:
