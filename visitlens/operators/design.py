@@ -164,12 +164,33 @@ def _levels(cells: DataFrame, factors: dict[str, Factor]) -> dict[str, list]:
     return levels
 
 
+def _bind(value: Column, body) -> Column:
+    """`body(value)` with the value evaluated once per row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _gram(df: DataFrame, vector: Column, size: int) -> np.ndarray:
+    vectors = MLUtils.convertVectorColumnsFromML(df.select(array_to_vector(vector).alias("v")), "v")
+    return RowMatrix(vectors, 0, size).computeGramianMatrix().toArray()
+
+
 def cross_products(df: DataFrame, columns: Sequence[Column], weight: Column) -> np.ndarray:
     """C'WC over all rows: one JVM pass with tree aggregation, a small matrix on the driver."""
-    rows = df.select(F.array(*[c.cast("double") for c in columns]).alias("c"), F.sqrt(weight).alias("root"))
-    scaled = rows.select(array_to_vector(F.transform("c", lambda v: v * F.col("root"))).alias("v"))
-    vectors = MLUtils.convertVectorColumnsFromML(scaled, "v")
-    return RowMatrix(vectors, 0, len(columns)).computeGramianMatrix().toArray()
+    values = F.array(*[c.cast("double") for c in columns])
+    return _gram(df, _bind(F.sqrt(weight), lambda root: F.transform(values, lambda v: v * root)), len(columns))
+
+
+def working_products(df: DataFrame, columns: Sequence[Column], link: Column, weight_of, target_of) -> np.ndarray:
+    """C'WC of the columns and a working response; weight and response are functions of the link,
+    which is evaluated once per row."""
+
+    def weighted(eta: Column) -> Column:
+        parts = F.struct(F.sqrt(weight_of(eta)).alias("root"), target_of(eta).alias("target"))
+        return _bind(parts, lambda p: F.transform(
+            F.array(*[c.cast("double") for c in columns], p["target"]), lambda v: v * p["root"]
+        ))
+
+    return _gram(df, _bind(link, weighted), len(columns) + 1)
 
 
 def independent_columns(gram: np.ndarray, tolerance: float = 1e-11) -> list[int]:

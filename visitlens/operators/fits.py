@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from visitlens.functions import special
 from visitlens.operators.design import (
     INTERCEPT, OFFSET, RESPONSE, WEIGHT, Design, Term, build_design, cross_products, dot, independent_columns,
-    inverse as invert,
+    inverse as invert, working_products,
 )
 from visitlens.operators.sizing import durable, local_table, rows_if_small
 
@@ -205,7 +205,11 @@ def fit_negative_binomial(
     for step in range(1, max_steps + 1):
         updated = _theta_step(design.cells, counts, mu, theta, n)
         t = F.lit(updated)
-        system = cross_products(design.cells, [*columns, dot(columns, beta) + (y - mu) / mu], w * mu / (1 + mu / t))
+        system = working_products(
+            design.cells, columns, dot(columns, beta) + F.col(OFFSET),
+            weight_of=lambda eta: w * F.exp(eta) / (1 + F.exp(eta) / t),
+            target_of=lambda eta: eta - F.col(OFFSET) + y * F.exp(-eta) - 1,
+        )
         moved = np.linalg.solve(system[:-1, :-1], system[:-1, -1])
         change = max(abs(math.log(updated / theta)), float(np.max(np.abs(moved - beta))))
         beta, theta, mu = moved, updated, F.exp(dot(columns, moved) + F.col(OFFSET))

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from visitlens.operators.design import (
-    RESPONSE, WEIGHT, Factor, Numeric, Term, build_design, cross_products, dot,
+    RESPONSE, WEIGHT, Factor, Numeric, Term, build_design, cross_products, dot, working_products,
 )
 from visitlens.operators.fits import _trials
 from visitlens.operators.sizing import local_table
@@ -163,10 +163,13 @@ def fit_random_intercept_logit(
     centre = np.array([p.mean for p in settings])
     centre[random] = 0.0
     for step in range(1, max_steps + 1):
-        eta = design.linear_predictor(beta)
-        mu = 1 / (1 + F.exp(-eta))
-        curve = mu * (1 - mu)
-        system = cross_products(design.cells, [*columns, (F.col(RESPONSE) - mu) / curve], F.col(WEIGHT) * curve)
+        mean = lambda eta: 1 / (1 + F.exp(-eta))
+        curve = lambda eta: mean(eta) * (1 - mean(eta))
+        system = working_products(
+            design.cells, columns, dot(columns, beta),
+            weight_of=lambda eta: F.col(WEIGHT) * curve(eta),
+            target_of=lambda eta: (F.col(RESPONSE) - mean(eta)) / curve(eta),
+        )
         precision = prior_precision()
         hessian = system[:-1, :-1] + np.diag(precision)
         gradient = system[:-1, -1] - precision * (beta - centre)
