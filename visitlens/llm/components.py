@@ -19,10 +19,8 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     aggregated before they are joined back, and the joins split heavy nodes, so a node may hold any share of the edges.
     Edges with a null end are left out.
     """
-    edges = written(
-        edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v"), F.col(left).alias("l"),
-                     F.col(right).alias("r"))
-        .filter("l is not null and r is not null and u != v").select("u", "v").distinct())
+    pairs = edges.select(F.col(left).alias("l"), F.col(right).alias("r")).distinct().filter("l != r")
+    edges = written(pairs.select(F.greatest("l", "r").alias("u"), F.least("l", "r").alias("v")).distinct())
     known = _fingerprint(edges)
     while known[0]:
         both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u")))

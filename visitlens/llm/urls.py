@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from visitlens.llm.common import ascii_lower
+from visitlens.llm.common import ascii_lower, let
 from visitlens.llm.components import connected_components
 
 ABSOLUTE = r"^[A-Za-z][A-Za-z0-9+.\-]*://"
@@ -28,9 +28,10 @@ def alias_key(url: Column) -> Column:
     """Host, path and query of a url, without scheme, fragment and campaign parameters; null where there is no host."""
     query = F.regexp_extract(_after_scheme(url), r"^[^?#]*\?([^#]*)", 1)
     query = F.regexp_replace(F.regexp_replace(query, r"(^|&)utm_[^&]*", ""), "^&", "")
-    path = F.when(path_of(url) == "", "/").otherwise(path_of(url))
-    key = F.concat(host_of(url), path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
-    return F.when(host_of(url) != "", key)
+    parts = F.struct(host_of(url).alias("host"), path_of(url).alias("path"), query.alias("query"))
+    return let(parts, lambda p: F.when(p["host"] != "", F.concat(
+        p["host"], F.when(p["path"] == "", "/").otherwise(p["path"]),
+        F.when(p["query"] != "", F.concat(F.lit("?"), p["query"])).otherwise(""))))
 
 
 def _resolved(target: Column, url: Column) -> Column:
