@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from visitlens.llm import decontaminate, sharding, urls
+from visitlens.llm import decontaminate, mixing, quality, secrets, sharding, urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +102,27 @@ def op7_urls(spark, folder):
     rules = spark.sql("SELECT * FROM VALUES " + ", ".join(map(str, RULES)) + " AS rules(host, path, verdict)")
     pages = table(spark, folder, "pages").select("page_id", "url", "html")
     return urls.judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op3_secrets")
+def op3_secrets(spark, folder):
+    """Secrets in the texts of all documents."""
+    return secrets.scan_secrets(table(spark, folder, "documents")).select(
+        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_lexed")
+
+
+@query("op10_quality")
+def op10_quality(spark, folder):
+    """Rules and the classifier's verdict on all documents."""
+    docs = table(spark, folder, "documents")
+    model = quality.fit_quality(docs, table(spark, folder, "labels"))
+    return quality.judge_quality(docs, model).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability")
+
+
+@query("op8_mix")
+def op8_mix(spark, folder):
+    """Words the mix takes of every document."""
+    copies = mixing.mixed_copies(table(spark, folder, "documents"))
+    return copies.select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))), "*").select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
