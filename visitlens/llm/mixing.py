@@ -49,8 +49,11 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = TO
         F.coalesce(F.sum("most").over(before), F.lit(0.0)).alias("full"),
         (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))).alias("open"))
     level = (F.col("goal") - F.col("full")) / F.col("open")
-    first = F.min(F.when(level * F.col("weight") <= F.col("most"), level)).over(whole)
-    return filled.select("source", "source_size", F.least("most", F.coalesce(first * F.col("weight"), "most")).alias("target"))
+    rank = F.row_number().over(by_level)
+    first = F.min(F.when(F.col("level") * F.col("weight") <= F.col("most"), F.struct("rank", "level"))).over(whole)
+    share_of = F.coalesce(first["level"] * F.col("weight"), F.col("most"))
+    return filled.withColumn("level", level).withColumn("rank", rank).withColumn("share", share_of).select(
+        "source", "source_size", F.least("most", "share").alias("target"))
 
 
 def _pivot(rows: list[dict], seed: str) -> None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from visitlens.llm import decontaminate, mixing, quality, secrets, sharding, urls
+from visitlens.llm import decontaminate, mixing, near_duplicates, quality, secrets, sharding, urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -126,3 +126,9 @@ def op8_mix(spark, folder):
     copies = mixing.mixed_copies(table(spark, folder, "documents"))
     return copies.select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))), "*").select(
         F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query("op5_near_duplicates")
+def op5_near_duplicates(spark, folder):
+    """The near-duplicate group of every document."""
+    return near_duplicates.near_duplicate_classes(table(spark, folder, "documents"))
