@@ -188,9 +188,10 @@ def near_duplicate_classes(
     """
     ids = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     sketches = written(sketch_documents(docs, id_col, text_col, bands, per_band, kept, size))
-    copies = sketches.groupBy("digest").agg(F.min("id").alias("copy_of"))
-    members = sketches.select("id", "digest").join(copies, "digest").groupBy("id").agg(F.min("copy_of").alias("copy_of"))
-    members = written(members)
+    copies = written(
+        sketches.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first"))
+    members = sketches.select("id", "digest").join(copies, "digest", "left").select("id", F.coalesce("first", "id").alias("first"))
+    members = written(members.groupBy("id").agg(F.min("first").alias("copy_of")))
     firsts = sketches.join(members.filter("id = copy_of").select("id"), "id").filter("bands is not null").select(
         "id", F.posexplode("bands").alias("band", "value"))
     shared = written(shared_buckets(firsts.select("id", F.xxhash64("band", "value").alias("key"))))

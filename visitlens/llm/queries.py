@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from visitlens.llm import decontaminate, mixing, near_duplicates, quality, secrets, sharding, urls
+from visitlens.llm import decontaminate, licenses, line_chunks, mixing, near_duplicates, quality, secrets, sharding, urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -132,3 +132,16 @@ def op8_mix(spark, folder):
 def op5_near_duplicates(spark, folder):
     """The near-duplicate group of every document."""
     return near_duplicates.near_duplicate_classes(table(spark, folder, "documents"))
+
+
+@query("op4_line_chunks")
+def op4_line_chunks(spark, folder):
+    """What all documents keep when repeated chunks of lines are cut."""
+    cut = line_chunks.drop_repeated_chunks(table(spark, folder, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op6_licenses")
+def op6_licenses(spark, folder):
+    """License notices in the texts of all documents, with spans and coverage."""
+    return licenses.scan_licenses(table(spark, folder, "documents"))
