@@ -25,10 +25,11 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     while known[0]:
         both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+        least = written(least)  # a table of its own, so that the join may split heavy nodes
         large = both.join(least, F.col("u") == F.col("k")).filter("v > u").select(
             F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = written(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m"))
         joined = large.join(least, F.col("u") == F.col("k"))
         small = joined.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             least.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from visitlens.llm import decontaminate, licenses, line_chunks, mixing, near_duplicates, quality, secrets, sharding, urls
+from visitlens.llm import decontaminate, licenses, line_chunks, mixing, near_duplicates, quality, secrets, sharding, suffixes, urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -145,3 +145,13 @@ def op4_line_chunks(spark, folder):
 def op6_licenses(spark, folder):
     """License notices in the texts of all documents, with spans and coverage."""
     return licenses.scan_licenses(table(spark, folder, "documents"))
+
+
+@query("op9_suffixes")
+def op9_suffixes(spark, folder):
+    """What all documents keep without strings of 50 bytes that an earlier document has."""
+    cut = suffixes.drop_repeated_strings(table(spark, folder, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return cut.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2(F.coalesce("kept", F.lit("").cast("binary")), 256).alias("kept_sha256"))
