@@ -85,9 +85,9 @@ def scan_table(words: Column, length: int, buckets: int, table: Column) -> Colum
 
 
 def scan_windows(words: Column, tables: list[tuple[int, int, Column]]) -> Column:
-    """Verified windows of one document against all tables."""
+    """Verified windows of one document against all tables, in text order."""
     empty = F.array().cast("array<struct<start:int,length:int,items:array<string>>>")
-    return F.concat(empty, *[scan_table(words, *table) for table in tables])
+    return F.array_sort(F.concat(empty, *[scan_table(words, *table) for table in tables]))
 
 
 def covered(windows: Column) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 import xxhash
@@ -51,7 +52,7 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str, least: int, with_text:
                     if end - start >= least and (wanted is None or number in wanted):
                         part = "\n".join(lines[start:end])
                         rows.append((i, number, xxhash.xxh3_128_digest(part), part if with_text else None))
-            place = [r[0] for r in rows]
+            place = np.array([r[0] for r in rows], dtype=int)
             yield pd.DataFrame({
                 "id": batch["id"].to_numpy()[place], "content": batch["content"].to_numpy()[place],
                 "chunk": [r[1] for r in rows], "hash": [r[2] for r in rows], "lines": [r[3] for r in rows]})

@@ -35,9 +35,9 @@ LEAST_CHARACTERS = 6
 QUOTED = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'"
 NAME = r"[A-Za-z_$][A-Za-z0-9_$]*(?:[.\-][A-Za-z0-9_$]+)*"
 PAIR = re.compile(
-    rf"""(?<![A-Za-z0-9_$.\-])(?:(?P<key>{NAME})["']?[\t\x20]*(?::=|=>|==?|:)[\t\x20]*(?=[^\s=])|<(?P<tag>{NAME})>(?=[^<\s])"""
-    rf"""|(?:set|put|setProperty|setenv|define)\([\t\x20]*["'](?P<arg>{NAME})["'][\t\x20]*,[\t\x20]*)""")
-VALUE = re.compile(rf"""(?P<quoted>{QUOTED})|(?P<bare>[^\s"'<>,;(){{}}\[\]|&]+)""")
+    rf"""(?<![A-Za-z0-9_$.\-])(?P<key>{NAME})["']?[\t\x20]*(?::=|=>|==?|:)[\t\x20]*(?=[^\s=])|<(?P<tag>{NAME})>(?=[^<\s])"""
+    rf"""|\b(?:set|put|setProperty|setenv|define)\([\t\x20]*["'](?P<arg>{NAME})["'][\t\x20]*,[\t\x20]*""")
+VALUE = re.compile(rf"""(?P<quoted>{QUOTED})|(?P<bare>[^\s"'<>,;(){{}}\[\]|&=]+=*)""")
 JOINT = re.compile(r"[\t\x20]*[+][\t\x20]*")
 WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 KINDS = {"assign": 0, "access": 1, "hex": 2, "lexed": 3}
