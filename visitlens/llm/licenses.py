@@ -8,7 +8,6 @@ that the shared fingerprints agree on.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
 import re
 import zlib
 
@@ -163,15 +162,11 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
     """
     index = TemplateIndex(TEMPLATES if templates is None else templates)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [match_licenses(text or "", index, least) for text in batch["text"]]
-            yield pd.DataFrame({
-                "id": batch["id"], "n_matches": [len(m) for m in found],
-                "matches": [[{"license": n, "coverage": c, "start": s, "end": e} for n, c, s, e in m] for m in found]})
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    slim = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    return slim.mapInPandas(
-        run, f"id {kind}, n_matches long, matches array<struct<license:string,coverage:double,start:long,end:long>>"
-    ).withColumnRenamed("id", id_col)
+    @F.pandas_udf("array<struct<license:string,coverage:double,start:long,end:long>>")
+    def found(texts: pd.Series) -> pd.Series:
+        return pd.Series([
+            [{"license": n, "coverage": c, "start": s, "end": e} for n, c, s, e in match_licenses(text or "", index, least)]
+            for text in texts])
+
+    matched = docs.select(docs[id_col], found(docs[text_col]).alias("matches"))
+    return matched.select(id_col, F.size("matches").cast("long").alias("n_matches"), "matches")

@@ -7,9 +7,6 @@ but the first occurrence go.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 import xxhash
@@ -27,7 +24,7 @@ def chunk_bounds(lines: list[str], window: int = WINDOW_LINES, mean: int = LINES
     """(first line, line after the last) of every chunk: a chunk ends where the hash of the last lines is 0 modulo `mean`."""
     bounds, start, rolling = [], 0, 0
     drop = pow(BASE, window, 1 << 64)
-    hashes = [xxhash.xxh3_64_intdigest(line) for line in lines]
+    hashes = [xxhash.xxh3_64_intdigest(line.encode("utf-8", "replace")) for line in lines]
     for i, own in enumerate(hashes):
         rolling = (rolling * BASE + own) & MASK
         if i >= window:
@@ -40,25 +37,23 @@ def chunk_bounds(lines: list[str], window: int = WINDOW_LINES, mean: int = LINES
     return bounds
 
 
-def _chunks(docs: DataFrame, id_col: str, text_col: str, least: int, with_text: bool) -> DataFrame:
-    """`id`, `content`, `chunk`, `hash` (and `lines` as text) of every chunk of `least` lines or more."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for i, (text, wanted) in enumerate(zip(batch["text"], batch["wanted"])):
-                lines = text.split("\n")
-                wanted = None if wanted is None else set(wanted)
-                for number, (start, end) in enumerate(chunk_bounds(lines)):
-                    if end - start >= least and (wanted is None or number in wanted):
-                        part = "\n".join(lines[start:end])
-                        rows.append((i, number, xxhash.xxh3_128_digest(part), part if with_text else None))
-            place = np.array([r[0] for r in rows], dtype=int)
-            yield pd.DataFrame({
-                "id": batch["id"].to_numpy()[place], "content": batch["content"].to_numpy()[place],
-                "chunk": [r[1] for r in rows], "hash": [r[2] for r in rows], "lines": [r[3] for r in rows]})
+def _chunks(docs: DataFrame, least: int, with_text: bool) -> DataFrame:
+    """`id`, `content`, `chunk`, `hash` or `lines` of every chunk of `least` lines or more, or of those in `wanted`."""
+    @F.pandas_udf("array<struct<chunk:int,hash:binary,lines:string>>")
+    def cut(texts: pd.Series, wanted: pd.Series) -> pd.Series:
+        found = []
+        for text, numbers in zip(texts, wanted):
+            lines, own = text.split("\n"), []
+            numbers = None if numbers is None else set(numbers)
+            for number, (start, end) in enumerate(chunk_bounds(lines)):
+                if end - start >= least and (numbers is None or number in numbers):
+                    part = "\n".join(lines[start:end])
+                    own.append({"chunk": number, "hash": None if with_text else xxhash.xxh3_128_digest(part.encode("utf-8", "replace")),
+                                "lines": part if with_text else None})
+            found.append(own)
+        return pd.Series(found)
 
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInPandas(run, f"id {kind}, content long, chunk int, hash binary, lines string")
+    return docs.select("id", "content", F.inline(cut("text", "wanted")))
 
 
 def drop_chunks(text: str, gone: list[int]) -> tuple[str, int, int]:
@@ -84,7 +79,7 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     slim = docs.filter(docs[text_col].isNotNull()).select(key.alias("key"), docs[text_col].alias("text")).select(
         F.col("key")["id"].alias("id"), F.col("key")["content"].alias("content"), "text")
     everything = slim.withColumn("wanted", F.lit(None).cast("array<int>"))
-    hashes = written(_chunks(everything, id_col, text_col, least, False).drop("lines"))
+    hashes = written(_chunks(everything, least, False).drop("lines"))
     # Null ids compare as less than any other, and rows alike count once.
     place = F.struct("id", "content", "chunk")
     repeated = hashes.groupBy("hash").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low != high").select("hash")
@@ -93,7 +88,7 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     same = F.col("id").eqNullSafe(F.col("own_id")) & (F.col("content") == F.col("own_content"))
     own = candidates.select(F.col("id").alias("own_id"), F.col("content").alias("own_content"), "wanted")
     texts = slim.join(own, same).select("id", "content", "text", "wanted")
-    read = _chunks(texts, id_col, text_col, least, True)
+    read = _chunks(texts, least, True)
     firsts = read.groupBy("lines").agg(F.min(place).alias("first")).select("first.*")
     kept = firsts.groupBy("id", "content").agg(F.collect_set("chunk").alias("stay")).select(
         F.col("id").alias("own_id"), F.col("content").alias("own_content"), "stay")

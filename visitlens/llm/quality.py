@@ -177,28 +177,23 @@ def judge_quality(docs: DataFrame, model: QualityModel | None, id_col: str = "do
     and empty texts have no words and fail. Other texts are kept if their probability of being good is a half or more,
     and always without a model (`probability` null). Repeated rows give equal rows, an empty table an empty one.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-        for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                text = text or ""
-                raw = text.encode("utf-8", "replace")
-                words = raw.split()
-                own = measures(text, words)
-                failed = own[0] < LEAST_WORDS or 100 * own[4] > MOST_REPEATED_PERCENT * own[0]
-                p = model.probability(raw, words) if model else None
-                rows.append((*own, failed, p, not failed and (p is None or p >= LEAST_PROBABILITY)))
-            out = pd.DataFrame(rows, columns=[*names, "base_failed", "probability", "kept"])
-            out.insert(0, "id", batch["id"].to_numpy())
-            yield out
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    slim = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    judged = slim.mapInPandas(
-        run, f"id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-             "base_failed boolean, probability double, kept boolean")
-    return judged.withColumnRenamed("id", id_col)
+    @F.pandas_udf(
+        "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
+        "probability double, kept boolean")
+    def judged(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in texts:
+            text = text or ""
+            raw = text.encode("utf-8", "replace")
+            words = raw.split()
+            own = measures(text, words)
+            failed = own[0] < LEAST_WORDS or 100 * own[4] > MOST_REPEATED_PERCENT * own[0]
+            p = model.probability(raw, words) if model else None
+            rows.append((*own, failed, p, not failed and (p is None or p >= LEAST_PROBABILITY)))
+        return pd.DataFrame(rows, columns=[
+            "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "probability", "kept"])
+
+    return docs.select(docs[id_col], judged(docs[text_col]).alias("judged")).select(id_col, "judged.*")
 
 
 def keep_good(docs: DataFrame, model: QualityModel | None, text_col: str = "text") -> DataFrame:

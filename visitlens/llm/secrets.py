@@ -8,7 +8,6 @@ A literal is reported when a sensitive name receives it and it looks like a secr
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 import hashlib
 import math
 import re
@@ -130,17 +129,13 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Spans read `kind:start:end` in code points. A null or empty text has none. Repeated rows give equal rows; an empty
     table gives an empty one; other columns of the input are not used. Texts of any length are read whole.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            spans = [scan(text) for text in batch["text"]]
-            base = [[s for s in own if s[2] != "lexed"] for own in spans]
-            out = {f"n_{kind}": [sum(s[2] == kind for s in own) for own in spans] for kind in KINDS}
-            out["base_sha256"] = [hashlib.sha256(joined(own).encode()).hexdigest() for own in base]
-            out["spans"] = [joined(own) for own in spans]
-            yield pd.DataFrame({"id": batch["id"], **out})
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    counts = ", ".join(f"n_{k} long" for k in KINDS)
-    slim = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    found = slim.mapInPandas(run, f"id {kind}, {counts}, base_sha256 string, spans string")
-    return found.withColumnRenamed("id", id_col)
+    @F.pandas_udf(", ".join(f"n_{kind} long" for kind in KINDS) + ", base_sha256 string, spans string")
+    def found(texts: pd.Series) -> pd.DataFrame:
+        spans = [scan(text) for text in texts]
+        base = [[s for s in own if s[2] != "lexed"] for own in spans]
+        out = {f"n_{kind}": [sum(s[2] == kind for s in own) for own in spans] for kind in KINDS}
+        out["base_sha256"] = [hashlib.sha256(joined(own).encode()).hexdigest() for own in base]
+        out["spans"] = [joined(own) for own in spans]
+        return pd.DataFrame(out)
+
+    return docs.select(docs[id_col], found(docs[text_col]).alias("found")).select(id_col, "found.*")
