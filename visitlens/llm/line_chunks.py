@@ -76,6 +76,7 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     counts = ("n_lines", "n_removed_lines", "n_removed_chunks")
     key = document_key(docs, id_col, text_col)
+    # The joins to the texts are merges at every size: what they bring grows with the corpus.
     slim = docs.filter(docs[text_col].isNotNull()).select(key.alias("key"), docs[text_col].alias("text")).select(
         F.col("key")["id"].alias("id"), F.col("key")["content"].alias("content"), "text")
     everything = slim.withColumn("wanted", F.lit(None).cast("array<int>"))
@@ -83,11 +84,12 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     # Null ids compare as less than any other, and rows alike count once.
     place = F.struct("id", "content", "chunk")
     repeated = hashes.groupBy("hash").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low != high").select("hash")
+    repeated = written(repeated)  # a table of its own, so that the join may split heavy hashes
     candidates = written(hashes.join(repeated, "hash").groupBy("id", "content").agg(F.array_sort(F.collect_set("chunk")).alias("wanted")))
 
     same = F.col("id").eqNullSafe(F.col("own_id")) & (F.col("content") == F.col("own_content"))
     own = candidates.select(F.col("id").alias("own_id"), F.col("content").alias("own_content"), "wanted")
-    texts = slim.join(own, same).select("id", "content", "text", "wanted")
+    texts = slim.join(own.hint("merge"), same).select("id", "content", "text", "wanted")
     read = _chunks(texts, least, True)
     firsts = read.groupBy("lines").agg(F.min(place).alias("first")).select("first.*")
     kept = firsts.groupBy("id", "content").agg(F.collect_set("chunk").alias("stay")).select(
@@ -105,7 +107,7 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     names = [c for c in docs.columns if c.lower() not in counts and c != text_col]
     rows = docs.select(
         F.struct(*[docs[c] for c in names]).alias("row"), docs[text_col].alias("text"), key["id"].alias("id"), key["content"].alias("content"))
-    joined = rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("content") == F.col("gone_content")), "left")
+    joined = rows.join(gone.hint("merge"), F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("content") == F.col("gone_content")), "left")
     done = joined.select("row", "gone", cut("text", "gone").alias("cut"))
     kept_columns = {c: F.col("row").getField(c) for c in names} | {text_col: F.col("cut")["text"]}
     return done.select(
