@@ -131,7 +131,8 @@ def registry(spark: SparkSession, d: str) -> DataFrame:
     paths = care_paths(spark, d).select(
         F.col("patient_id").alias("user"), F.dayofmonth("visit_date").alias("day"), "care_path"
     )
-    v = v.join(paths, (F.col("patient_id") % 150 == F.col("user")) & (F.col("ingest_key") % 30 + 1 == F.col("day")), "left")
+    users = scan(spark, d, "events").agg(F.max("user_id") + 1).first()[0]
+    v = v.join(paths, (F.col("patient_id") % users == F.col("user")) & (F.col("ingest_key") % 30 + 1 == F.col("day")), "left")
     arrival = F.add_months("visit_date", 150)
     key, patient = F.col("ingest_key"), F.col("patient_id")
     return v.select(
@@ -216,7 +217,7 @@ VIEWS = {
         country AS place, CAST(age % 18 AS DOUBLE) AS gcs, p.care_path
         FROM visits JOIN diagnoses ON ingest_key = visit_key LEFT JOIN
         (SELECT patient_id AS usr, dayofmonth(visit_date) AS dom, care_path FROM care_paths) p
-        ON patient_id % 150 = usr AND ingest_key % 30 + 1 = dom""",
+        ON patient_id % (SELECT max(user_id) + 1 FROM events) = usr AND ingest_key % 30 + 1 = dom""",
     "included": """SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY ingest_key) AS visit_count FROM registry
         WHERE regexp_matches(dx_text, 'E1.|S2.\\.3|P0.\\.1|L') AND nationality = 'IS'
         AND (episode_name IS NULL OR episode_name NOT IN ('E5')) AND CAST(postcode AS INTEGER) BETWEEN 100 AND 118""",

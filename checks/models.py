@@ -139,9 +139,9 @@ def ols_by_group(spark, d):
     return group_out(group_terms(spark, d))
 
 
-@check("filter_significant", f"SELECT * FROM ({LINES} {GROUP_TERMS}) WHERE term = 'year' AND p_value < 0.5")
+@check("filter_significant", f"SELECT * FROM ({LINES} {GROUP_TERMS}) WHERE term = 'year' AND p_value < 0.2")
 def filter_significant(spark, d):
-    return group_out(G.significant(group_terms(spark, d), "year", 0.5))
+    return group_out(G.significant(group_terms(spark, d), "year", 0.2))
 
 
 @check("fit_stats_by_group", f"{LINES} SELECT category, {rs('1 - rss / syy')} AS r_squared, {rs('(1 - rss / syy) * (n - 2) / (rss / syy)', 5)} AS f_statistic FROM g")
@@ -174,10 +174,10 @@ def augment_by_group(spark, d):
     return augmented(spark, d).select("category", "year", "total", *[rounded(F.col(c), 4).alias(c) for c in AUGMENT_COLUMNS])
 
 
-@check("icd_trend_report", f"""{AUGMENT}, s AS (SELECT category FROM ({GROUP_TERMS}) WHERE term = 'year' AND p_value < 0.5)
+@check("icd_trend_report", f"""{AUGMENT}, s AS (SELECT category FROM ({GROUP_TERMS}) WHERE term = 'year' AND p_value < 0.2)
     SELECT category, year, {rs('fitted', 4)} AS fitted, {rs('residual', 4)} AS residual, {rs('slope', 4)} AS slope, {rs('1 - rss / syy')} AS r_squared FROM a SEMI JOIN s USING (category)""")
 def icd_trend_report(spark, d):
-    report = D.trend_report(A.diagnosed_visits(spark, d), A.DX_SLOTS, level=0.5)
+    report = D.trend_report(A.diagnosed_visits(spark, d), A.DX_SLOTS, level=0.2)
     return report.select("category", "year", *[rounded(F.col(c), 4).alias(c) for c in ("fitted", "residual", "slope")], rounded(F.col("r_squared")).alias("r_squared"))
 
 

@@ -173,6 +173,15 @@ def histogram_width(spark, d):
     return P.histogram(counts(spark, d), "count", 25).withColumn("share", rounded(F.col("share")))
 
 
+@check("histogram_sturges", f"""{A.views('visits')} , s AS (SELECT count(age) AS n, CAST(min(age) AS DOUBLE) AS lo, CAST(max(age) AS DOUBLE) AS hi FROM visits),
+    r AS (SELECT *, (hi - lo) / ceil(log2(n) + 1) AS rough FROM s), p AS (SELECT *, pow(10, floor(log10(rough))) AS unit FROM r),
+    w AS (SELECT lo, unit * CASE WHEN rough / unit > 7 THEN 10 WHEN rough / unit > 2.8 THEN 5 WHEN rough / unit > 1.4 THEN 2 ELSE 1 END AS width FROM p),
+    b AS (SELECT greatest(ceil(age / width), floor(lo / width) + 1) AS bin, width FROM visits, w WHERE age IS NOT NULL)
+    SELECT (bin - 1) * width AS low, bin * width AS high, count(*) AS n FROM b GROUP BY ALL""")
+def histogram_sturges(spark, d):
+    return P.histogram_between(A.visits(spark, d), "age")
+
+
 @check("box_stats", f"""{A.views('responses')}, q AS (SELECT response, {', '.join(f'quantile_cont(stay_hours, {p}) AS {n}' for p, n in ((0, 'min'), (.25, 'q1'), (.5, 'median'), (.75, 'q3'), (1, 'max')))} FROM responses GROUP BY 1)
     SELECT response, {', '.join(f'CAST(max(q.{n}) AS DOUBLE) AS {n}' for n in ('min', 'q1', 'median', 'q3', 'max'))},
     min(stay_hours) FILTER (stay_hours BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS whisker_low, max(stay_hours) FILTER (stay_hours BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS whisker_high,
@@ -268,6 +277,6 @@ def spline_gam(spark, d):
 @check("random_intercept_logit")
 def random_intercept_logit(spark, d):
     table = A.responses(spark, d).join(A.visits(spark, d).select(F.col("ingest_key").alias("visit_key"), "country"), "visit_key")
-    priors = SM.priors_from_table(M.prior_terms(M.fit_glm(table, [Factor("sex"), Factor("status")], "response", "binomial").terms(spark)).select(
+    priors = (M.prior_terms(M.fit_glm(table, [Factor("sex"), Factor("status")], "response", "binomial").terms(spark)).select(
         "term", F.when(F.col("term") == "(Intercept)", "normal").otherwise("t").alias("family"), "mean", "scale", F.lit(3.0).alias("df")))
     return SM.fit_random_intercept_logit(table, [Factor("sex"), Factor("status"), Numeric("stay_hours")], "country", "response", priors)

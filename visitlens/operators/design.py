@@ -73,6 +73,12 @@ class Design:
     columns: dict[str, Column]
     term_of: dict[str, str]
     levels: dict[str, list] = field(default_factory=dict)
+    uncounted: DataFrame | None = None
+
+    @property
+    def rows(self) -> DataFrame:
+        """Cells that still tell responses apart, where `cells` holds shares of them."""
+        return self.cells if self.uncounted is None else self.uncounted
 
     @property
     def names(self) -> list[str]:

@@ -79,14 +79,23 @@ class Fit:
         return link if self.family == "gaussian" else F.exp(link)
 
     def predictions(self) -> DataFrame:
-        """Cells with link, fitted value and response residual; `_w` is the number of rows in the cell."""
-        return self.design.cells.withColumns({"link": self.link(), "fitted": self.response()}).withColumn(
+        """Cells with link, fitted value and response residual; `_w` is the number of rows in the cell.
+
+        Rows of a cell are alike in predictors and response, so a logistic fit has a residual for yes and one for no.
+        """
+        return self.design.rows.withColumns({"link": self.link(), "fitted": self.response()}).withColumn(
             "residual", F.col(RESPONSE) - F.col("fitted")
         )
 
     def score(self, df: DataFrame, response_scale: bool = True, out: str = "fitted") -> DataFrame:
-        """Predictions for the rows of any table that has the model's columns and the offset column."""
-        return df.withColumn(out, self.response() if response_scale else self.link())
+        """Predictions for the rows of any table that has the model's columns and the offset column.
+
+        A null level, and one the fit has not seen, gives null.
+        """
+        known = F.lit(True)
+        for name, levels in self.design.levels.items():
+            known = known & F.coalesce(F.col(f"`{name}`").isin(levels), F.lit(False))
+        return df.withColumn(out, F.when(known, self.response() if response_scale else self.link()))
 
 
 def fit_linear(df: DataFrame, terms: Sequence[Term], response: str, offset: str | None = None, **options) -> Fit:
@@ -121,11 +130,14 @@ def fit_linear(df: DataFrame, terms: Sequence[Term], response: str, offset: str
     return Fit(design, "gaussian", estimates, inverse * sigma2, kept, df_residual, n, measures)
 
 
+MOST_STEPS = 50
+
+
 def fit_glm(df: DataFrame, terms: Sequence[Term], response: str, family: str, offset: str | None = None, **options) -> Fit:
     """Binomial or Poisson model with its canonical link, fitted by Spark's generalised linear regression."""
     design = build_design(df, terms, response, offset, **options)
     if family == "binomial":
-        design.cells = _trials(design.cells)
+        design.uncounted, design.cells = design.cells, _trials(design.cells)
     elif not options.get("to_cells", True):
         design.cells = durable(design.cells)
     columns = list(design.columns.values())
@@ -134,7 +146,7 @@ def fit_glm(df: DataFrame, terms: Sequence[Term], response: str, family: str, of
     table = VectorAssembler(inputCols=[f"x{i}" for i in slopes], outputCol="features").transform(design.matrix_table())
     model = GeneralizedLinearRegression(
         family=family, featuresCol="features", labelCol=RESPONSE, weightCol=WEIGHT, offsetCol=OFFSET,
-        maxIter=50, tol=1e-11,
+        maxIter=MOST_STEPS, tol=1e-11,
     ).fit(table.select("features", RESPONSE, WEIGHT, OFFSET))
     estimates = np.full(len(columns), np.nan)
     estimates[0] = model.intercept
@@ -143,16 +155,18 @@ def fit_glm(df: DataFrame, terms: Sequence[Term], response: str, family: str, of
     mu, y, w = fit.response(), F.col(RESPONSE), F.col(WEIGHT)
     variance = mu * (1 - mu) if family == "binomial" else mu
     fit.covariance = invert(cross_products(design.cells, [columns[i] for i in kept], w * variance))
+    link = fit.link()
     if family == "binomial":
-        likelihood = y * F.ln(mu) + (1 - y) * F.log1p(-mu)
+        # in terms of the link, which stays finite where the probability rounds to 0 or 1
+        likelihood = y * link - F.greatest(link, F.lit(0.0)) - F.log1p(F.exp(-F.abs(link)))
     else:
-        likelihood = y * F.ln(mu) - mu
+        likelihood = y * link - mu
     fit.n, total, loglik = design.cells.agg(F.sum(w), F.sum(w * y), F.sum(w * likelihood)).first()
     if family == "poisson":
         loglik -= _gamma_sum(_counts(design.cells), special.log_gamma, special.log_gamma_udf, 1.0)
     fit.df_residual = fit.n - len(kept)
     fit.measures = {"log_likelihood": loglik, "aic": 2 * len(kept) - 2 * loglik, "mean": total / fit.n,
-                    "iterations": float(model.summary.numIterations)}
+                    "iterations": float(model.summary.numIterations), "converged": float(model.summary.numIterations < MOST_STEPS)}
     if family == "binomial":
         fit.measures["deviance"] = -2 * loglik
     else:
@@ -171,7 +185,7 @@ def _counts(cells: DataFrame):
     """Distinct counts with their number of rows: driver arrays when few, else the table itself."""
     table = cells.groupBy(RESPONSE).agg(F.sum(WEIGHT).alias(WEIGHT))
     rows = rows_if_small(table)
-    return table.persist() if rows is None else np.array([tuple(r) for r in rows], dtype=float)
+    return durable(table) if rows is None else np.array([tuple(r) for r in rows], dtype=float)
 
 
 def _gamma_sum(counts, function, udf, shift: float) -> float:
@@ -224,7 +238,8 @@ def fit_negative_binomial(
     )
     estimates = np.full(len(design.names), np.nan)
     estimates[kept] = beta
-    measures = {"theta": theta, "log_likelihood": loglik, "aic": 2 * (len(kept) + 1) - 2 * loglik, "steps": float(step)}
+    measures = {"theta": theta, "log_likelihood": loglik, "aic": 2 * (len(kept) + 1) - 2 * loglik, "steps": float(step),
+                "converged": float(change < tol or theta >= THETA_MAXIMUM)}
     return Fit(design, "negative_binomial", estimates, invert(information), kept, n - len(kept), n, measures)
 
 

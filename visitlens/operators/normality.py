@@ -16,8 +16,6 @@ from visitlens.operators.series import BLOCK, difference, lags
 from visitlens.operators.sizing import local_table
 from visitlens.operators.skew import join_per_key, number_rows
 
-SHAPIRO_MAXIMUM = 5_000
-
 # Royston's polynomials for the two outermost weights and for the p-value.
 ROYSTON_LAST = [0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056]
 ROYSTON_BEFORE_LAST = [0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633]
@@ -50,9 +48,10 @@ def _polynomial(coefficients: Sequence[float], x: Column) -> Column:
 
 
 def shapiro_wilk(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """(keys, n, w, p_value) per group of 3 to 5000 values; other sizes give null.
+    """(keys, n, w, p_value) per group of 3 values or more that differ; other groups give null.
 
-    Groups above the limit are left out before any sorting, so a group being ranked is always small.
+    W has the same closed form at every size. The p-value's normal approximation was fitted on sizes up to 5000 and is
+    carried on beyond them. Heavy groups are ranked and joined on the balanced path.
     """
     keys = list(keys) or ["_all"]
     rows = df.withColumn("_all", F.lit(0)) if keys == ["_all"] else df
@@ -60,8 +59,8 @@ def shapiro_wilk(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     sizes = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.var_pop("x").alias("_variance"), F.min("x").alias("_low"), F.max("x").alias("_high")
     )
-    usable = sizes.filter(F.col("n").between(3, SHAPIRO_MAXIMUM) & (F.col("_high") > F.col("_low")))
-    ranked = number_rows(join_per_key(rows, usable, keys, "inner", match_nulls=True), keys, ["x"], "i", hot=[])
+    usable = sizes.filter((F.col("n") >= 3) & (F.col("_high") > F.col("_low")))
+    ranked = number_rows(join_per_key(rows, usable, keys, "inner", match_nulls=True), keys, ["x"], "i")
     expected = special.normal_quantile_udf((F.col("i") - 0.375) / (F.col("n") + 0.25))
     scored = ranked.withColumn("m", expected)
     # The expected scores are symmetric, so the outermost two and their square sum fix all weights.
@@ -70,7 +69,7 @@ def shapiro_wilk(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
         F.max(F.when(F.col("i") == F.col("n"), F.col("m"))).alias("_last"),
         F.max(F.when(F.col("i") == F.col("n") - 1, F.col("m"))).alias("_next"),
     )
-    weighed = join_per_key(scored, shape, keys, "inner", hot=[], match_nulls=True)
+    weighed = join_per_key(scored, shape, keys, "inner", match_nulls=True)
     n, mm, last, nxt = F.col("n"), F.col("_mm"), F.col("_last"), F.col("_next")
     u = 1 / F.sqrt(n)
     a_last = F.when(n == 3, F.lit(math.sqrt(0.5))).otherwise(last / F.sqrt(mm) + _polynomial(ROYSTON_LAST, u))

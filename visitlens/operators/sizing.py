@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 SMALL_ROWS = 50_000
+SMALL_TABLE_BYTES = 16 * 1024 * 1024
 SMALL_INPUT_BYTES = 64 * 1024 * 1024
 BYTES_PER_PARTITION = 256 * 1024 * 1024
 
@@ -41,22 +42,28 @@ def rows_if_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> list | None:
 def local_table(spark: SparkSession, rows, schema: str | StructType) -> DataFrame:
     """Driver rows as a table whose size the planner knows, so that joins to it need no shuffle."""
     schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    rows = [tuple(r) for r in rows]
-    if not rows:
-        return spark.createDataFrame([], schema)
-    columns = [[r[i] for r in rows] for i in range(len(schema))]
-    return spark.createDataFrame(pa.table(columns, names=schema.names), schema)
+    table = _arrow([tuple(r) for r in rows], schema)
+    return spark.createDataFrame([], schema) if table is None else spark.createDataFrame(table, schema)
+
+
+def _arrow(rows: list[tuple], schema: StructType) -> pa.Table | None:
+    return pa.table([[r[i] for r in rows] for i in range(len(schema))], names=schema.names) if rows else None
 
 
 def small_table(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """`df` marked for broadcast when its row count is proven small, else unchanged.
+    """`df` marked for broadcast when its rows and bytes are proven small, else unchanged.
 
     The check keeps the rows it read, so a small aggregate is computed once and not once per use.
     """
     rows = rows_if_small(df, max_rows)
     if rows is None:
         return df
-    return F.broadcast(local_table(df.sparkSession, rows, df.schema))
+    table = _arrow([tuple(r) for r in rows], df.schema)
+    if table is None:
+        return F.broadcast(df.sparkSession.createDataFrame([], df.schema))
+    if table.nbytes > SMALL_TABLE_BYTES:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(table, df.schema))
 
 
 def scalar(df: DataFrame, column: Column) -> Column:

@@ -6,6 +6,7 @@ Both reduce the rows to cells once; each step is one cross-product pass, the res
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -119,11 +120,11 @@ class Prior:
     df: float | None = None
 
 
-def priors_from_table(table: DataFrame) -> dict[str, Prior]:
-    """Priors from a (term, family, mean, scale, df) table with one row per coefficient."""
-    return {
-        r["term"]: Prior(r["mean"], r["scale"], r["df"] if r["family"] == "t" else None) for r in table.limit(10_000).collect()
-    }
+def priors_from_table(table: DataFrame, names: Sequence[str]) -> dict[str, Prior]:
+    """Priors of the coefficients `names` from a (term, family, mean, scale, df) table with one row per coefficient."""
+    wanted = local_table(table.sparkSession, [(name,) for name in names], "term string")
+    rows = table.join(wanted, "term", "left_semi").collect()
+    return {r["term"]: Prior(r["mean"], r["scale"], r["df"] if r["family"] == "t" else None) for r in rows}
 
 
 def fit_random_intercept_logit(
@@ -131,7 +132,7 @@ def fit_random_intercept_logit(
     terms: Sequence[Term],
     group: str,
     response: str,
-    priors: Mapping[str, Prior] | None = None,
+    priors: Mapping[str, Prior] | DataFrame | None = None,
     precision_prior: tuple[float, float] = (0.01, 0.01),
     max_steps: int = 60,
     tol: float = 1e-8,
@@ -142,10 +143,10 @@ def fit_random_intercept_logit(
     random intercepts maximises its marginal posterior by fixed-point steps (well-determined intercepts
     over their sum of squares). One cross-product pass per Newton step.
     """
-    priors = dict(priors or {})
     design = build_design(df, [*terms, Factor(group, full=True)], response)
     design.cells = _trials(design.cells)
     names, columns = design.names, list(design.columns.values())
+    priors = priors_from_table(priors, names) if isinstance(priors, DataFrame) else dict(priors or {})
     random = [i for i, name in enumerate(names) if design.term_of[name] == group]
     settings = [priors.get(name, Prior(0.0, 10.0)) for name in names]
     beta, tau = np.zeros(len(names)), 1.0
@@ -182,6 +183,8 @@ def fit_random_intercept_logit(
         tau = updated
         if change < tol:
             break
+    else:
+        warnings.warn(f"the random-intercept fit had not converged after {max_steps} steps", stacklevel=2)
     sd = np.sqrt(np.diag(covariance))
     rows = [(n, float(b), float(s), float(b - 1.96 * s), float(b + 1.96 * s)) for n, b, s in zip(names, beta, sd)]
     rows.append(("precision", float(tau), None, None, None))

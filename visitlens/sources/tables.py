@@ -43,10 +43,13 @@ def write_csv(df: DataFrame, path: str) -> str:
     return path
 
 
+DRAW_FILES = 4096
+
+
 def write_draws(draws: DataFrame, folder: str, name: str, version: str) -> str:
     """Posterior draws in long form, one folder per parameter, so one parameter can be read alone."""
     return write_snapshot(
-        draws.repartition("parameter", F.pmod("iter", F.lit(16))), folder, name, version, ["parameter"]
+        draws.repartition("parameter", F.pmod(F.xxhash64("chain", "iter"), F.lit(DRAW_FILES))), folder, name, version, ["parameter"]
     )
 
 
