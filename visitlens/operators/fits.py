@@ -285,6 +285,16 @@ def odds_table(terms: DataFrame, z: float = 1.96) -> DataFrame:
     )
 
 
+def linear_table(fit: Fit, spark: SparkSession, level: float = 0.95) -> DataFrame:
+    """Untransformed estimates of a linear fit with their t intervals; null where a term depends on earlier ones."""
+    reach = float(special.t_quantile(np.array([0.5 + level / 2]), np.array([fit.df_residual]))[0])
+    rows = [
+        (term, estimate, error, None if error is None else estimate - reach * error, None if error is None else estimate + reach * error, p)
+        for term, estimate, error, _, p in fit.term_rows()
+    ]
+    return local_table(spark, rows, "term string, estimate double, std_error double, lower double, upper double, p_value double")
+
+
 def prior_terms(terms: DataFrame) -> DataFrame:
     """Prior mean and scale of each term: the estimate and twice its standard error."""
     return terms.select("term", F.col("estimate").alias("mean"), (F.col("std_error") * 2).alias("scale"))

@@ -72,7 +72,7 @@ def random_intercept_model(table: DataFrame, informed_by: Report, df: float = 3.
         "term", family.alias("family"), "mean", "scale", F.lit(df).alias("df")
     )
     terms = cohort_terms(drop=["cause", "place", "postalcode"])
-    return mixed.fit_random_intercept_logit(table, terms, "postalcode", "response", mixed.priors_from_table(rows))
+    return mixed.fit_random_intercept_logit(table, terms, "postalcode", "response", rows)
 
 
 RATE_OFFSET = "ln(population)"
