@@ -101,7 +101,7 @@ def op7_urls(spark, folder):
     """Verdict on the url of every page, carried over redirects and canonical links."""
     rules = spark.sql("SELECT * FROM VALUES " + ", ".join(map(str, RULES)) + " AS rules(host, path, verdict)")
     pages = table(spark, folder, "pages").select("page_id", "url", "html")
-    return urls.judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+    return urls.judge_urls(pages, rules, carry=["page_id"]).select("page_id", "host", "path", "rule", "verdict")
 
 
 @query("op3_secrets")

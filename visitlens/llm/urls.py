@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from visitlens.llm.common import ascii_lower, let
+from visitlens.llm.common import ascii_lower, let, written
 from visitlens.llm.components import connected_components
 
 ABSOLUTE = r"^[A-Za-z][A-Za-z0-9+.\-]*://"
@@ -76,14 +76,15 @@ def rule_for(urls: DataFrame, rules: DataFrame) -> DataFrame:
     fitting = hosts.join(named, "suffix").groupBy("host").agg(F.collect_list(F.struct(
         (F.length("suffix") + F.length("prefix")).alias("size"), F.concat("suffix", "prefix").alias("rule"), "verdict",
         "prefix")).alias("fitting"))
+    fitting = written(fitting)  # a table of its own, so that the join may split heavy hosts
     best = F.array_max(F.filter("fitting", lambda rule: F.startswith(F.col("path"), rule["prefix"])))
     return urls.join(fitting, "host", "left").withColumn("best", best).select(
         *[c for c in urls.columns], F.col("best")["rule"].alias("rule"), F.col("best")["verdict"].alias("rule_verdict"))
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None, url_col: str = "url",
-               html_col: str = "html") -> DataFrame:
-    """`pages` with `host`, `path`, `rule` and `verdict` (allow or block).
+               html_col: str = "html", carry: list[str] | None = None) -> DataFrame:
+    """`pages` (or its columns in `carry`) with `host`, `path`, `rule` and `verdict` (allow or block).
 
     A rule (`host`, `path`, `verdict`) fits its host and subdomains where the path starts with the rule's; the longest
     decides. Pages no rule fits are blocked if an alias of theirs is blocked by a rule, else allowed; a page that a rule
@@ -93,9 +94,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None =
     links. Repeated rows are judged alike, and an empty table stays empty. Columns of the input of these names are replaced.
     """
     taken = ("host", "path", "rule", "verdict")
+    names = [c for c in (pages.columns if carry is None else carry) if c.lower() not in taken]
     url = pages[url_col]
     rows = pages.select(
-        F.struct(*[pages[c] for c in pages.columns if c.lower() not in taken]).alias("row"),
+        F.struct(*[pages[c] for c in names]).alias("row"),
         host_of(url).alias("host"), path_of(url).alias("path"), alias_key(url).alias("key"))
     links = link_edges(pages, url_col, html_col)
     if redirects is not None:
@@ -109,5 +111,5 @@ def judge_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None =
     blocked_keys = members.join(blocked, "component").select(F.col("node").alias("key"), F.lit(True).alias("by_alias"))
     judged = rule_for(rows, rules).join(blocked_keys, "key", "left")
     verdict = F.coalesce("rule_verdict", F.when(F.col("by_alias"), "block"), F.lit("allow"))
-    kept = [F.col("row").getField(c).alias(c) for c in pages.columns if c.lower() not in taken]
+    kept = [F.col("row").getField(c).alias(c) for c in names]
     return judged.select(*kept, "host", "path", "rule", verdict.alias("verdict"))
