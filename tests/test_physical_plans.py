@@ -60,7 +60,6 @@ def test_no_all_pairs_join(spark, name):
     assert "CartesianProduct" not in text and "NestedLoopJoin" not in text
 
 
-def test_samples_keep_only_candidates_on_a_large_table(spark, monkeypatch):
-    monkeypatch.setattr(summaries, "is_small_input", lambda df: False)
+def test_samples_keep_only_candidates(spark):
     text = plan(summaries.sample_n(A.visits(spark, FOLDER), "ingest_key", 20, 1))
     assert "md5" in text and "TakeOrderedAndProject" in text and " < " in text

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from visitlens.operators import skew, sizing, summaries
+from visitlens.operators import skew, sizing, summaries, tables
 
 
 @pytest.fixture(scope="module")
@@ -24,27 +24,26 @@ def rows(df):
 
 
 def test_hot_tokens_find_the_heavy_key(spark, skewed):
-    assert skew.hot_tokens(skewed, ["k"]) == []
-    hot = skew.hot_tokens(skewed, ["k"], 0.05, force=True)
+    hot = skew.hot_tokens(skewed, ["k"])
     heavy = spark.range(1).select(F.xxhash64(F.lit(7).cast("long"))).first()[0]
     assert heavy in hot and len(hot) <= 20
 
 
 def test_numbering_is_the_same_on_both_plans(skewed):
-    hot = skew.hot_tokens(skewed, ["k"], 0.05, force=True)
+    hot = skew.hot_tokens(skewed, ["k"], 0.05)
     plain = skew.number_rows(skewed, ["k"], ["when", "id"], "i", hot=[])
     spread = skew.number_rows(skewed, ["k"], ["when", "id"], "i", hot=hot)
     assert rows(plain) == rows(spread.select(*plain.columns))
 
 
 def test_numbering_keeps_descending_order(skewed):
-    hot = skew.hot_tokens(skewed, ["k"], 0.05, force=True)
+    hot = skew.hot_tokens(skewed, ["k"], 0.05)
     order = [F.desc("when"), "id"]
     assert rows(skew.number_rows(skewed, ["k"], order, "i", hot=[])) == rows(skew.number_rows(skewed, ["k"], order, "i", hot=hot))
 
 
 def test_group_value_on_rows_with_salts_and_nulls(skewed):
-    hot = skew.hot_tokens(skewed, ["k"], 0.05, force=True)
+    hot = skew.hot_tokens(skewed, ["k"], 0.05)
     plain = skew.with_group_value(skewed, ["k"], [], top=F.max("v"))
     salted = skew.with_group_value(skewed, ["k"], hot, top=F.max("v"))
     assert rows(plain) == rows(salted)
@@ -54,7 +53,7 @@ def test_group_value_on_rows_with_salts_and_nulls(skewed):
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
 def test_salted_join_matches_plain_join(skewed, how):
     table = skewed.groupBy("k").agg(F.count("*").alias("n")).filter("k % 2 = 1")
-    hot = skew.hot_tokens(skewed, ["k"], 0.05, force=True)
+    hot = skew.hot_tokens(skewed, ["k"], 0.05)
     assert rows(skew.join_per_key(skewed, table, ["k"], how, [])) == rows(skew.join_per_key(skewed, table, ["k"], how, hot))
 
 
@@ -80,11 +79,17 @@ def test_overall_quantiles_need_no_key(skewed):
     assert got == pytest.approx(np.median([r["v"] for r in skewed.collect()]))
 
 
-def test_sample_with_and_without_cutoff(skewed, monkeypatch):
-    plain = rows(summaries.sample_n(skewed, "id", 120, 5))
-    monkeypatch.setattr(summaries, "is_small_input", lambda df: False)
-    assert rows(summaries.sample_n(skewed, "id", 120, 5)) == plain
-    assert sum(plain.values()) == 120
+def test_sample_is_that_of_a_full_ranking(skewed):
+    rank = F.md5(F.concat(F.col("id").cast("string"), F.lit(":5")))
+    sample = rows(summaries.sample_n(skewed, "id", 120, 5))
+    assert sample == rows(skewed.orderBy(rank, "id").limit(120)) and sum(sample.values()) == 120
+    assert rows(summaries.sample_n(skewed, "id", 20_000, 5)) == rows(skewed)
+
+
+def test_grid_of_values_with_nulls(skewed):
+    got = rows(tables.cross_grid(skewed.select("k", (F.col("id") % 5).alias("five")), "five", "k"))
+    keys = {r["k"] for r in skewed.collect()} - {None}
+    assert got == Counter((five, key) for five in range(5) for key in keys)
 
 
 def test_rare_levels_with_long_lists_take_the_join(skewed, monkeypatch):

@@ -11,7 +11,6 @@ from pyspark.sql.types import StructType
 
 SMALL_ROWS = 50_000
 SMALL_TABLE_BYTES = 16 * 1024 * 1024
-SMALL_INPUT_BYTES = 64 * 1024 * 1024
 BYTES_PER_PARTITION = 256 * 1024 * 1024
 
 
@@ -21,10 +20,6 @@ def input_bytes(df: DataFrame) -> int:
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
-def is_small_input(df: DataFrame) -> bool:
-    return input_bytes(df) <= SMALL_INPUT_BYTES
-
-
 def range_partitions(df: DataFrame) -> int:
     """Partitions for a range shuffle: the session's number, more when the input needs it."""
     floor = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -12,7 +12,7 @@ from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from visitlens.operators.sizing import durable, is_small_input, local_table, range_partitions, small_table
+from visitlens.operators.sizing import durable, local_table, range_partitions, small_table
 
 SMALLEST_SHARE = 1e-4
 LARGEST_SHARE = 0.05
@@ -25,10 +25,8 @@ def _token(keys: Sequence[str]) -> Column:
     return F.xxhash64(*keys)
 
 
-def hot_tokens(df: DataFrame, keys: Sequence[str], share: float | None = None, force: bool = False) -> list[int]:
-    """Hashes of the keys that hold more than `share` of the rows; none for a small input."""
-    if not force and is_small_input(df):
-        return []
+def hot_tokens(df: DataFrame, keys: Sequence[str], share: float | None = None) -> list[int]:
+    """Hashes of the keys that hold more than `share` of the rows; looked for at every size."""
     share = share or min(max(0.5 / range_partitions(df), SMALLEST_SHARE), LARGEST_SHARE)
     tokens = df.select(_token(keys).alias("token"))
     candidates = tokens.stat.freqItems(["token"], share).first()[0] or []

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from visitlens.functions import fixed_values as fixed
-from visitlens.operators.sizing import is_small_input, local_table, rows_if_small, scalar, small_table
+from visitlens.operators.sizing import local_table, rows_if_small, scalar, small_table
 from visitlens.operators.skew import join_per_key, number_rows
 
 
@@ -75,13 +75,13 @@ def quantiles(
     value: str,
     probabilities: Sequence[float],
     out: str = "quantiles",
-    spread: bool | None = None,
+    spread: bool = True,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per group, as an array in the order asked for.
 
-    A small input uses the built-in exact percentile. A large one never holds a group in one buffer:
-    rows are ranked (heavy groups over range partitions) and only the ranks next to each quantile
-    are kept.
+    No group is ever held in one buffer: rows are ranked (heavy groups over range partitions) and only
+    the ranks next to each quantile are kept. `spread=False` asks for the built-in exact percentile,
+    for groups known to be short.
     """
     if not keys:
         # One constant key makes the whole table a single heavy group.
@@ -89,7 +89,6 @@ def quantiles(
         return quantiles(whole, ["_all"], value, probabilities, out, spread).drop("_all")
     keys = list(keys)
     rows = df.select(*keys, F.col(value).cast("double").alias(value)).filter(F.col(value).isNotNull())
-    spread = not is_small_input(df) if spread is None else spread
     if not spread:
         return rows.groupBy(*keys).agg(F.percentile(value, list(probabilities)).alias(out))
     # Equal values are interchangeable, so counting them first shrinks what has to be ranked.
@@ -154,7 +153,7 @@ def summary_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def draw_summary(draws: DataFrame, spread: bool | None = None) -> DataFrame:
+def draw_summary(draws: DataFrame, spread: bool = True) -> DataFrame:
     """Mean, sd, median and the 95 % interval of each parameter's draws."""
     basics = draws.groupBy("parameter").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
     points = quantiles(draws, ["parameter"], "value", [0.5, 0.025, 0.975], spread=spread)
@@ -183,16 +182,15 @@ def share_of_total(df: DataFrame, count: str, out: str = "share") -> DataFrame:
 def sample_n(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """Exactly `n` rows, those with the smallest keyed hashes: uniform, seeded and repeatable.
 
-    On a large table a hash cutoff keeps about `n` candidates first, so no task sorts the whole; if
-    the cutoff kept too few, the full table is ranked.
+    A hash cutoff keeps about `n` candidates first, so no task sorts the whole; if the cutoff kept too
+    few, the full table is ranked.
     """
     rank = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
     rows = df
-    if not is_small_input(df):
-        total = df.count()
-        wanted = n + 10 * math.sqrt(n) + 100
-        if total > wanted:
-            cutoff = format(int(wanted / total * 2**32), "08x")
-            near = df.filter(rank < cutoff)
-            rows = near if near.count() >= n else df
+    total = df.count()
+    wanted = n + 10 * math.sqrt(n) + 100
+    if total > wanted:
+        cutoff = format(int(wanted / total * 2**32), "08x")
+        near = df.filter(rank < cutoff)
+        rows = near if near.count() >= n else df
     return rows.orderBy(rank, key).limit(n)

@@ -22,10 +22,15 @@ def full_join_suffixed(left: DataFrame, right: DataFrame, key: str, suffixes: tu
 def cross_grid(df: DataFrame, a: str, b: str) -> DataFrame:
     """Every distinct value of `a` with every distinct value of `b`.
 
-    The distinct values of `b` travel as one array, so the grid is an explode and not a cross join.
+    The values of `b` are dealt into blocks and every value of `a` visits each block once, so the grid is
+    an equality join that spreads over the blocks and no list of values is held in one place. A null `b`
+    makes no column of the grid.
     """
-    values = df.select(b).distinct().agg(F.array_sort(F.collect_set(b))).scalar()
-    return df.select(a).distinct().withColumn(b, F.explode(values))
+    blocks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = df.select(a).distinct().withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = df.select(b).filter(F.col(b).isNotNull()).distinct()
+    right = right.withColumn("_block", F.pmod(F.xxhash64(b), F.lit(blocks)).cast("int"))
+    return left.join(right, "_block").select(a, b)
 
 
 def zero_fill_grid(counts: DataFrame, a: str, b: str, count: str) -> DataFrame:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from visitlens.functions import fixed_values as fixed, scalars as S
-from visitlens.operators.sizing import durable, is_small_input
+from visitlens.operators.sizing import durable
 from visitlens.operators.skew import hot_tokens
 from visitlens.operators.summaries import keep_levels, lump_rare
 from visitlens.operators.tables import drop_listed, first_rule, flag_matrix_to_map, keep_listed, lookup, map_literal
@@ -47,9 +47,8 @@ def cohort(registry: DataFrame, dictionaries: Dictionaries, ingest_key: str = "i
     included = drop_listed(included, F.col("episode_name"), dictionaries.excluded_episodes, "episode_name")
     included = keep_listed(included, F.col("postcode"), dictionaries.postcodes, "postcode")
     # The included visits are read several times from here on; written once, the registry is scanned once.
-    small = is_small_input(included)
     included = durable(included)
-    hot = [] if small else hot_tokens(included, ["patient_id"], force=True)
+    hot = hot_tokens(included, ["patient_id"])
     # Numbered and lumped on all included visits, before visits without a usable sex code are dropped.
     numbered = visit_number(included, "patient_id", [ingest_key], "visit_count", hot)
     lumped = lump_rare(numbered, "postcode").withColumn("sex", S.sex_label(F.col("sex_code"))).filter("sex is not null")
