@@ -11,21 +11,16 @@ from pyspark.sql.types import StructType
 
 SMALL_ROWS = 50_000
 SMALL_TABLE_BYTES = 16 * 1024 * 1024
-BYTES_PER_PARTITION = 256 * 1024 * 1024
-
-
-def input_bytes(df: DataFrame) -> int:
-    """Bytes of the sources below `df`, from the statistics of its plan."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+ROWS_PER_PARTITION = 1_000_000
 
 
 def range_partitions(df: DataFrame) -> int:
-    """Partitions for a range shuffle: the session's number, more when the input needs it."""
+    """Partitions for a range shuffle: the session's number, more when the counted rows need it.
+
+    The rows are counted, as a plan's size estimate multiplies over joins and says little about the rows.
+    """
     floor = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = input_bytes(df)
-    wanted = math.ceil(size / BYTES_PER_PARTITION) if size < 2**60 else floor
-    return max(floor, min(wanted, 200_000))
+    return max(floor, min(math.ceil(df.count() / ROWS_PER_PARTITION), 200_000))
 
 
 def rows_if_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> list | None:
