@@ -1,6 +1,6 @@
 """Penalised models: spline smooths with GCV, and a logit with informed priors and random intercepts.
 
-Both reduce the rows to cells once; each step is one cross-product pass, the rest is p × p arithmetic.
+Both reduce the rows to cells once; each step is one or two passes over them, the rest is p × p arithmetic.
 """
 
 from __future__ import annotations
@@ -12,12 +12,14 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DecimalType, FractionalType
 
 from visitlens.operators.design import (
     RESPONSE, WEIGHT, Factor, Numeric, Term, build_design, cross_products, dot, working_products,
 )
 from visitlens.operators.fits import _trials
-from visitlens.operators.sizing import local_table
+from visitlens.operators.sizing import durable, local_table, small_table
+from visitlens.operators.skew import hot_tokens, join_per_key
 
 
 @dataclass(frozen=True)
@@ -141,53 +143,90 @@ def fit_random_intercept_logit(
 
     Student t priors act as normal ones whose precision is updated at each step. The precision of the
     random intercepts maximises its marginal posterior by fixed-point steps (well-determined intercepts
-    over their sum of squares). One cross-product pass per Newton step.
+    over their sum of squares). Intercepts are eliminated group by group: each step sums the cells per group
+    and only the fixed effects' matrix reaches the driver, so there may be any number of groups. Rows with a
+    null group are left out.
     """
-    design = build_design(df, [*terms, Factor(group, full=True)], response)
-    design.cells = _trials(design.cells)
+    design = build_design(df.dropna(subset=[group]), terms, response, keep=[group])
+    cells = _trials(design.cells)
     names, columns = design.names, list(design.columns.values())
+    size = len(names)
     priors = priors_from_table(priors, names) if isinstance(priors, DataFrame) else dict(priors or {})
-    random = [i for i, name in enumerate(names) if design.term_of[name] == group]
     settings = [priors.get(name, Prior(0.0, 10.0)) for name in names]
-    beta, tau = np.zeros(len(names)), 1.0
-    share = design.cells.agg(F.sum(F.col(WEIGHT) * F.col(RESPONSE)) / F.sum(WEIGHT)).first()[0]
-    beta[0] = math.log(share / (1 - share))
-
-    def prior_precision():
-        values = np.array([
-            (p.df + 1) / (p.df * p.scale**2 + (b - p.mean) ** 2) if p.df else 1 / p.scale**2
-            for p, b in zip(settings, beta)
-        ])
-        values[random] = tau
-        return values
-
     centre = np.array([p.mean for p in settings])
-    centre[random] = 0.0
+    beta, tau = np.zeros(size), 1.0
+    share = cells.agg(F.sum(F.col(WEIGHT) * F.col(RESPONSE)) / F.sum(WEIGHT)).first()[0]
+    beta[0] = math.log(share / (1 - share))
+    hot = hot_tokens(cells, [group])
+    effects = durable(cells.select(group).distinct().withColumn("_u", F.lit(0.0)))
+    mean = lambda eta: 1 / (1 + F.exp(-eta))
+    curve = lambda eta: mean(eta) * (1 - mean(eta))
+    shared = F.array(*[F.col(f"_s{j}") for j in range(size)])
     for step in range(1, max_steps + 1):
-        mean = lambda eta: 1 / (1 + F.exp(-eta))
-        curve = lambda eta: mean(eta) * (1 - mean(eta))
+        joined = join_per_key(cells, small_table(effects), [group], "inner", hot)
+        link = dot(columns, beta) + F.col("_u")
         system = working_products(
-            design.cells, columns, dot(columns, beta),
+            joined, columns, link,
             weight_of=lambda eta: F.col(WEIGHT) * curve(eta),
             target_of=lambda eta: (F.col(RESPONSE) - mean(eta)) / curve(eta),
         )
-        precision = prior_precision()
-        hessian = system[:-1, :-1] + np.diag(precision)
-        gradient = system[:-1, -1] - precision * (beta - centre)
-        moved = np.linalg.solve(hessian, gradient)
-        beta = beta + moved * min(1.0, 4.0 / max(np.max(np.abs(moved)), 1e-12))
+        precision = np.array([
+            (p.df + 1) / (p.df * p.scale**2 + (b - p.mean) ** 2) if p.df else 1 / p.scale**2
+            for p, b in zip(settings, beta)
+        ])
+        weighed = joined.withColumn("_eta", link).withColumn("_c", F.col(WEIGHT) * curve(F.col("_eta")))
+        sums = durable(weighed.groupBy(group).agg(
+            F.max("_u").alias("_u"),
+            (F.sum("_c") + tau).alias("_d"),
+            (F.sum(F.col(WEIGHT) * (F.col(RESPONSE) - mean(F.col("_eta")))) - tau * F.max("_u")).alias("_g"),
+            *[F.sum(F.col("_c") * c).alias(f"_s{j}") for j, c in enumerate(columns)],
+        ))
+        each = [F.col(f"_s{j}") for j in range(size)]
+        root = F.sqrt("_d")
+        folded = cross_products(
+            sums, [*[s / root for s in each], F.col("_g") / root, *[s / F.col("_d") for s in each], 1 / root], F.lit(1.0))
+        hessian = system[:-1, :-1] + np.diag(precision) - folded[:size, :size]
+        gradient = system[:-1, -1] - precision * (beta - centre) - folded[:size, size]
         covariance = np.linalg.inv(hessian)
-        determined = len(random) - tau * float(np.trace(covariance[np.ix_(random, random)]))
-        updated = (2 * precision_prior[0] + max(determined, 0.0)) / (2 * precision_prior[1] + float(np.sum(beta[random] ** 2)))
-        change = max(float(np.max(np.abs(moved))), abs(math.log(updated / tau)))
+        moved = covariance @ gradient
+        spread = folded[size + 1:-1, size + 1:-1]
+        shift = (F.col("_g") - dot(each, moved)) / F.col("_d")
+        most, squares, mixed, steps, groups = sums.select("_u", shift.alias("_m")).agg(
+            F.max(F.abs("_m")), F.sum(F.col("_u") * F.col("_u")), F.sum(F.col("_u") * F.col("_m")),
+            F.sum(F.col("_m") * F.col("_m")), F.count(F.lit(1)),
+        ).first()
+        largest = max(float(np.max(np.abs(moved))), most)
+        damping = min(1.0, 4.0 / max(largest, 1e-12))
+        beta = beta + moved * damping
+        effects = sums.select(group, (F.col("_u") + damping * shift).alias("_u"))
+        determined = groups - tau * float(folded[-1, -1] + np.sum(covariance * spread))
+        total = squares + 2 * damping * mixed + damping**2 * steps
+        updated = (2 * precision_prior[0] + max(determined, 0.0)) / (2 * precision_prior[1] + total)
+        change = max(largest, abs(math.log(updated / tau)))
         tau = updated
         if change < tol:
             break
     else:
         warnings.warn(f"the random-intercept fit had not converged after {max_steps} steps", stacklevel=2)
-    sd = np.sqrt(np.diag(covariance))
-    rows = [(n, float(b), float(s), float(b - 1.96 * s), float(b + 1.96 * s)) for n, b, s in zip(names, beta, sd)]
-    rows.append(("precision", float(tau), None, None, None))
-    return local_table(
-        df.sparkSession, rows, "parameter string, estimate double, sd double, lower double, upper double"
+    fixed = [(n, float(b), float(s)) for n, b, s in zip(names, beta, np.sqrt(np.diag(covariance)))]
+    fixed.append(("precision", float(tau), None))
+    # |half · s|² is s' covariance s
+    half = F.array(*[F.lit(row) for row in np.linalg.cholesky(covariance).T.tolist()])
+    add = lambda total, v: total + v
+    product = lambda row: F.aggregate(F.zip_with(row, shared, lambda x, y: x * y), F.lit(0.0), add)
+    through = F.aggregate(F.transform(half, lambda row: F.pow(product(row), F.lit(2))), F.lit(0.0), add)
+    random = sums.select(
+        F.concat(F.lit(group), _shown(cells, group)).alias("parameter"), (F.col("_u") + damping * shift).alias("estimate"),
+        F.sqrt(1 / F.col("_d") + through / (F.col("_d") * F.col("_d"))).alias("sd"),
     )
+    rows = local_table(df.sparkSession, fixed, "parameter string, estimate double, sd double").union(random)
+    return rows.withColumns({"lower": F.col("estimate") - 1.96 * F.col("sd"), "upper": F.col("estimate") + 1.96 * F.col("sd")})
+
+
+def _shown(df: DataFrame, column: str) -> Column:
+    """Levels as `level_text` writes them: numbers without zeros at the end."""
+    text = F.col(f"`{column}`").cast("string")
+    kind = df.schema[column].dataType
+    if isinstance(kind, (DecimalType, FractionalType)):
+        return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    return text
