@@ -226,6 +226,39 @@ def test_group_effects_shrink_but_follow_the_truth(spark):
     assert 0.5 < got["precision"] < 4
 
 
+def test_random_intercepts_agree_with_dense_newton_steps(spark):
+    rng = np.random.default_rng(11)
+    unit, x = rng.integers(0, 6, 900), rng.integers(0, 3, 900).astype(float)
+    y = (rng.random(900) < 1 / (1 + np.exp(-(0.4 * x - 0.5 + 0.3 * (unit - 2.5))))).astype(float)
+    df = spark.createDataFrame(pd.DataFrame({"unit": unit, "x": x, "y": y}))
+    rows = {r["parameter"]: r for r in mixed.fit_random_intercept_logit(df, [Numeric("x")], "unit", "y", {"x": mixed.Prior(0.2, 0.3)}).collect()}
+    tau = rows["precision"]["estimate"]
+    X = np.column_stack([np.ones(900), x, np.eye(6)[unit]])
+    centre, weight = np.array([0, 0.2] + [0] * 6), np.array([0.01, 1 / 0.09] + [tau] * 6)
+    beta = np.zeros(8)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-X @ beta))
+        hessian = (X.T * (p * (1 - p))) @ X + np.diag(weight)
+        beta = beta + np.linalg.solve(hessian, X.T @ (y - p) - weight * (beta - centre))
+    cov = np.linalg.inv(hessian)
+    for i, name in enumerate(["(Intercept)", "x", *[f"unit{u}" for u in range(6)]]):
+        assert rows[name]["estimate"] == pytest.approx(beta[i], abs=1e-6)
+        assert rows[name]["sd"] == pytest.approx(np.sqrt(cov[i, i]), rel=1e-5)
+    expected = (0.02 + 6 - tau * np.trace(cov[2:, 2:])) / (0.02 + (beta[2:] ** 2).sum())
+    assert tau == pytest.approx(expected, rel=1e-5)
+
+
+def test_ten_thousand_random_intercepts(spark):
+    df = spark.range(40_000).select(
+        F.concat(F.lit("g"), F.col("id") % 10_000).alias("unit"), (F.col("id") % 2).cast("double").alias("x"),
+        F.when(F.rand(4) < F.when(F.col("id") % 10_000 < 5_000, 0.2).otherwise(0.8), 1.0).otherwise(0.0).alias("y"))
+    rows = mixed.fit_random_intercept_logit(df, [Numeric("x")], "unit", "y", tol=1e-3)
+    level = rows.filter("parameter like 'unitg%'").withColumn("high", F.substring("parameter", 6, 9).cast("int") >= 5_000)
+    found = {r["high"]: (r["n"], r["mean"]) for r in level.groupBy("high").agg(F.count("*").alias("n"), F.avg("estimate").alias("mean")).collect()}
+    assert found[True][0] == found[False][0] == 5_000
+    assert found[False][1] < -0.5 and found[True][1] > 0.5
+
+
 def test_spline_follows_a_curve_and_keeps_a_line_straight(spark):
     x = np.round(np.linspace(0, 1, 1500), 3)
     rng = np.random.default_rng(5)
@@ -240,6 +273,13 @@ def test_spline_follows_a_curve_and_keeps_a_line_straight(spark):
     assert {r["term"] for r in parametric.collect()} == {"(Intercept)", "gb"}
 
 
+def test_forest_with_three_thousand_levels(spark):
+    df = spark.range(6_000).select(
+        F.col("id").alias("key"), F.concat(F.lit("t"), F.col("id") % 3_000).alias("name"), (F.col("id") % 7).cast("double").alias("z"))
+    model = forest.fit_forest(df, "z", "key", trees=2, depth=2)
+    assert model.score(model.holdout).count() == model.holdout.count() > 0
+
+
 def test_forest_finds_the_predictor_that_matters(spark):
     rng = np.random.default_rng(9)
     n = 1500

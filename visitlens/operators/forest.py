@@ -48,7 +48,8 @@ def fit_forest(
     bucket = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1000))
     rows = rows.withColumn("_held", bucket < int(holdout * 1000))
     names = [f"{c}_index" if c in texts else c for c in predictors]
-    levels = max([32, *[rows.select(c).distinct().limit(2_001).count() for c in texts]])
+    counted = rows.agg(*[F.count_distinct(c) for c in texts]).first() if texts else []
+    levels = max([32, *counted])
     stages = [StringIndexer(inputCol=c, outputCol=f"{c}_index", handleInvalid="keep") for c in texts]
     stages.append(VectorAssembler(inputCols=names, outputCol="features"))
     stages.append(RandomForestRegressor(
