@@ -155,6 +155,22 @@ def test_groups_against_all_pairs(documents):
     assert kept == sorted(set(label.values()))
 
 
+def test_no_link_of_a_crowded_bucket_is_lost(documents):
+    draw = random.Random(19)
+    passage, texts = draw.choices(WORDS, k=80), []
+    for _ in range(30):
+        words = passage + draw.choices(WORDS, k=50)
+        texts += [" ".join(words), " ".join(edited(draw, words, 2))]
+    draw.shuffle(texts)
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates.near_duplicate_classes(
+        documents(list(enumerate(texts))), bands=1, per_band=1, kept=1).collect()}
+    bucket = [near_duplicates.order_min_hash(s, 1, 1, 1)[0] for s in near_duplicates.shingle_hashes(texts)]
+    links = [(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts[:i]) if plain_similarity(a, b) >= 0.8]
+    shared = [(i, j) for i, j in links if bucket[i] == bucket[j]]
+    assert len(shared) >= 15 and all(got[i] == got[j] for i, j in shared)
+    assert all((i, j) in links for i in got for j in got if j < i and got[i] == got[j])  # every group is one planted pair
+
+
 def test_near_duplicates_of_awkward_rows(hard, documents):
     got = near_duplicates.near_duplicate_classes(hard).collect()
     assert len(got) == 12

@@ -2,8 +2,9 @@
 
 A sketch of a document samples, per hash function, the few occurrence-labelled word shingles with the smallest hashes and
 keeps them in text order, so that two sketches agree when the texts share shingles and keep their order. Several sketches
-make a band; documents that share a band become candidates of the band's first and last document, never of each other,
-and candidates are verified by aligning their shingles inside a band around the diagonal.
+make a band; documents that share a band become candidates of the band's first and last document, and candidates are
+verified by aligning their shingles inside a band around the diagonal. Documents of bands that still hold several groups
+then meet all documents of other groups with which they share a shingle among their rarest, as any similar pair must.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ BANDS = 32
 SKETCHES_PER_BAND = 3
 KEPT_PER_SKETCH = 2
 CELLS_AT_ONCE = 1 << 21
+COUNTERS = 1 << 20
+COMMON_COUNTERS = 1 << 15
 WORD = re.compile(r"[^\W_]+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -150,6 +153,14 @@ def shared_buckets(keys: DataFrame) -> DataFrame:
     return keys.join(ends, "key").select("id", "key", "low", "high")
 
 
+def mixed_members(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """The members (`id`, `key`, `class`) of buckets that hold several classes (`node`, `component`)."""
+    by_class = shared.select("id", "key").join(classes, F.col("id") == F.col("node"), "left").select(
+        "id", "key", F.coalesce("component", "id").alias("class"))
+    mixed = by_class.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low != high")
+    return by_class.join(mixed.select("key"), "key")
+
+
 def star_pairs(shared: DataFrame) -> DataFrame:
     """Pairs `a`, `b` of every member with the smallest and the largest member of its bucket."""
     pairs = shared.select("id", F.explode(F.array("low", "high")).alias("end")).filter("id != end")
@@ -173,6 +184,83 @@ def verified_pairs(pairs: DataFrame, texts: DataFrame, size: int, least: float)
     return both.select("a", "b", "text_a", "text_b").mapInPandas(run, f"a {kind}, b {kind}, similarity double")
 
 
+def common_counters(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The counters on which most labelled shingles of `texts` fall, ascending, and how many; a fixed number at most."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for own in shingle_hashes(list(batch["text"]), size):
+                if len(own):
+                    np.add.at(total, (labelled(own) % np.uint64(COUNTERS)).astype(np.int64), 1)
+        used = np.flatnonzero(total)
+        yield pd.DataFrame({"counter": used, "n": total[used]})
+
+    counted = texts.select("text").mapInPandas(run, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
+    found = counted.orderBy(F.desc("n"), "counter").limit(COMMON_COUNTERS).collect()
+    pairs = np.array(sorted((r["counter"], r["n"]) for r in found), np.int64).reshape(-1, 2)
+    return pairs[:, 0].copy(), pairs[:, 1].copy()
+
+
+def counted_on(shingles: np.ndarray, counters: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How often the counter of each shingle was met, 0 for the counters left out."""
+    own = (shingles % np.uint64(COUNTERS)).astype(np.int64)
+    if not len(counters):
+        return np.zeros(len(own), np.int64)
+    place = np.minimum(np.searchsorted(counters, own), len(counters) - 1)
+    return np.where(counters[place] == own, counts[place], 0)
+
+
+def needed_shingles(least: float, total):
+    """Shingles that two texts of `total` shingles together must share to be similar."""
+    return np.ceil(least / (1 + least) * total - 1e-9)
+
+
+def rare_prefixes(texts: DataFrame, size: int, least: float) -> DataFrame:
+    """`id`, `n`, `shingle`, `place` of the first shingles of every text in one order of all shingles, rare ones first.
+
+    As many as a partner of any size may need: `short` tells those that a partner of the same size or longer needs.
+    """
+    counters, counts = common_counters(texts, size)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for own_id, shingles in zip(batch["id"], shingle_hashes(list(batch["text"]), size)):
+                n = len(shingles)
+                if not n:
+                    continue
+                own = labelled(shingles)
+                kept = n - int(np.ceil(least * n - 1e-9)) + 1
+                first = own[np.lexsort((own, counted_on(own, counters, counts)))[:kept]]
+                place = np.arange(len(first))
+                yield pd.DataFrame({
+                    "id": own_id, "n": n, "shingle": first.view(np.int64), "place": place, "short": place <= n - needed_shingles(least, 2 * n)})
+
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.select("id", "text").mapInPandas(run, f"id {kind}, n int, shingle long, place int, short boolean")
+
+
+def prefix_pairs(texts: DataFrame, classes: DataFrame, size: int, least: float) -> DataFrame:
+    """All pairs `a`, `b` of `texts` in different classes (`id`, `class`) that may be similar, each once.
+
+    Similar texts share `needed_shingles`, so the rarest shingle they share stands so early in both that enough are left
+    after it. Members of the largest class of a shingle meet members of the others only, never each other.
+    """
+    rows = written(rare_prefixes(texts, size, least).join(classes, "id"))
+    by_class = rows.groupBy("shingle", "class").agg(F.count("*").alias("rows"))
+    main = written(by_class.groupBy("shingle").agg(F.max_by("class", F.struct("rows", "class")).alias("main"), F.count("*").alias("held"))
+                   .filter("held > 1").select("shingle", "main"))
+    # tables of their own, so that the joins may split heavy shingles
+    rows = written(rows.join(main, "shingle").withColumn("minor", F.col("class") != F.col("main")).drop("main"))
+    enough = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= F.ceil(
+        F.lit(least / (1 + least)) * (F.col("x.n") + F.col("y.n")) - 1e-9)
+    meet = ((F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.class") != F.col("y.class"))
+            & (F.struct("x.n", "x.id") < F.struct("y.n", "y.id")) & enough)
+    found = [
+        left.alias("x").join(right.alias("y").hint("merge"), meet).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+        for left, right in ((rows.filter("short and minor"), rows), (rows.filter("short and not minor"), rows.filter("minor")))]
+    return found[0].union(found[1]).distinct()
+
+
 def near_duplicate_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS, least: float = SIMILARITY,
     bands: int = BANDS, per_band: int = SKETCHES_PER_BAND, kept: int = KEPT_PER_SKETCH,
@@ -182,9 +270,9 @@ def near_duplicate_classes(
     Documents belong to one group when a chain of texts links them, each similar to the next: `least` or more of their
     `size`-word shingles align in order (words are lower-cased runs of letters and digits). Equal texts always share a
     group, empty ones too. Null texts and ids are their own class (`class_id` is the id). Rows that repeat an id
-    with one text are one document and each returned; of an id with several texts the smallest is compared. Nothing is
-    capped: copies meet once per text, members of a bucket meet its two ends, and buckets whose members still lie in
-    several classes are split by the pairs of buckets that their members share and met again.
+    with one text are one document and each returned; of an id with several texts the smallest is compared. Copies meet
+    once per text and members of a bucket its two ends; where that leaves several classes in a bucket, its members meet again
+    where they share two such buckets, and what is then still in several classes is joined exactly (`prefix_pairs`).
     """
     ids = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     sketches = written(sketch_documents(docs, id_col, text_col, bands, per_band, kept, size))
@@ -203,16 +291,18 @@ def near_duplicate_classes(
     classes = written(connected_components(links, "a", "b"))
 
     # Buckets whose members lie in several classes: their members meet again where they share two such buckets.
-    by_class = shared.select("id", "key").join(classes, F.col("id") == F.col("node"), "left").select(
-        "id", "key", F.coalesce("component", "id").alias("class"))
-    mixed = by_class.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low != high")
-    again = written(by_class.join(mixed.select("key"), "key").select("id", "key"))
+    again = written(mixed_members(shared, classes))
     other = again.select("id", F.col("key").alias("other"))
     doubled = again.join(other, "id").filter("key < other").select("id", F.xxhash64("key", "other").alias("key"))
     more = written(star_pairs(shared_buckets(doubled)).join(pairs, ["a", "b"], "left_anti"))
-    more_links = verified_pairs(more, texts, size, least)
+    links = written(links.union(verified_pairs(more, texts, size, least)))
+    classes = written(connected_components(links, "a", "b"))
 
-    classes = connected_components(links.select("a", "b").union(more_links.select("a", "b")), "a", "b")
+    # What still lies in several classes meets every possible partner of another class.
+    rest = written(mixed_members(again.select("id", "key"), classes).select("id", "class").distinct())
+    exact = written(prefix_pairs(texts.join(rest.select("id"), "id", "left_semi"), rest, size, least))
+    links = links.union(verified_pairs(exact, texts, size, least))
+    classes = connected_components(links, "a", "b")
     found = members.join(classes, F.col("copy_of") == F.col("node"), "left").select(
         F.col("id").alias("known"), "copy_of", F.coalesce("component", "copy_of").alias("class_id"))
     return ids.select("id").join(found, F.col("id") == F.col("known"), "left").select(
