@@ -212,6 +212,24 @@ def test_alignment_reports_every_place_and_no_half_notice():
     assert licenses.match_licenses(" ".join(licenses.TEMPLATES["MIT"].split()[:30]), index) == []
 
 
+@pytest.mark.parametrize("name", ["MIT-line", "CC-BY-NC-4.0-line", "Apache-2.0-line", "GPL-3.0-line", "ISC"])
+def test_notices_back_to_back_are_separate_places(name):
+    index, line = licenses.TemplateIndex({name: licenses.TEMPLATES[name]}), licenses.TEMPLATES[name]
+    for n in (1, 2, 3, 7):
+        text = "\n".join([line] * n)
+        want = [(name, 1.0, i * (len(line) + 1), i * (len(line) + 1) + len(line) - 1) for i in range(n)]
+        assert licenses.match_licenses(text, index) == want
+        assert [m[0] for m in licenses.match_licenses("one two " + text + " three", index)] == [name] * n
+
+
+@pytest.mark.parametrize("name", ["MIT-line", "CC-BY-NC-4.0-line", "Apache-2.0-line"])
+def test_short_notice_with_any_word_changed(name):
+    index, words = licenses.TemplateIndex(licenses.TEMPLATES), licenses.WORD.findall(licenses.TEMPLATES[name])
+    for i in range(len(words)):
+        text = " ".join(["before", *words[:i], "changed", *words[i + 1:], "after"])
+        assert (name, (len(words) - 1) / len(words)) in [m[:2] for m in licenses.match_licenses(text, index)]
+
+
 def test_banded_alignment_against_the_full_table():
     draw = random.Random(9)
     for _ in range(40):

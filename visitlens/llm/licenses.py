@@ -7,6 +7,7 @@ that the shared fingerprints agree on.
 
 from __future__ import annotations
 
+import bisect
 from collections import defaultdict
 import re
 import zlib
@@ -91,12 +92,17 @@ class TemplateIndex:
         self.words = [word_hashes(WORD.findall(templates[name].lower())) for name in self.names]
         if sum(map(len, self.words)) > MOST_TEMPLATE_WORDS * max(1, len(self.names)):
             raise ValueError(f"templates of over {MOST_TEMPLATE_WORDS} words a piece do not fit into every task")
-        self.places = defaultdict(list)
+        self.places: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
         for number, own in enumerate(self.words):
-            values = grams(own)
-            for place in winnowed(values).tolist():
-                self.places[int(values[place])].append((number, place))
-        self.known = np.array(sorted(self.places), np.uint64)
+            # Short templates have all their n-grams: one changed word may hit a single fingerprint, and the middle of
+            # five words all n-grams of three.
+            size = GRAM_WORDS if len(own) > 2 * GRAM_WORDS - 1 else GRAM_WORDS - 1
+            size = min(size, len(own))
+            values = grams(own, size)
+            chosen = winnowed(values) if len(values) >= 2 * WINDOW else np.arange(len(values))
+            for place in chosen.tolist():
+                self.places[size][int(values[place])].append((number, place))
+        self.known = {size: np.array(sorted(own), np.uint64) for size, own in self.places.items()}
 
 
 def banded_alignment(a: np.ndarray, b: np.ndarray, shift: int, band: int) -> tuple[int, int, int]:
@@ -127,28 +133,49 @@ def banded_alignment(a: np.ndarray, b: np.ndarray, shift: int, band: int) -> tup
     return int(best[k]), int(start[k]), int(end[k])
 
 
+def separate_places(words: np.ndarray, hashes: np.ndarray, hits: list[tuple[int, int]], least: float, band: int) -> list[tuple[int, int, int]]:
+    """(matched words, start, end) of the places where `least` of the template's `words` align around the `hits` (place, shift).
+
+    A place found is taken out of the text, and a hit outside all places found is tried again on the words left around it.
+    """
+    spans: list[tuple[int, int, int]] = []
+    failed = set()
+    for place, shift in hits:
+        while True:
+            at = bisect.bisect_right(spans, place, key=lambda span: span[1])
+            if at and place < spans[at - 1][2]:
+                break
+            low = spans[at - 1][2] if at else 0
+            high = spans[at][1] if at < len(spans) else len(hashes)
+            low, high = max(low, shift - band), min(high, shift + len(words) + band)
+            if (shift, low, high) in failed:
+                break
+            own = hashes[low:high]
+            # no alignment holds more words than stand in the window at all
+            matched, start, end = banded_alignment(words, own, shift - low, band) if np.isin(words, own).sum() >= least * len(words) else (0, 0, 0)
+            if not matched or matched < least * len(words):
+                failed.add((shift, low, high))
+                break
+            bisect.insort(spans, (matched, low + start, low + end), key=lambda span: span[1])
+    return spans
+
+
 def match_licenses(text: str, index: TemplateIndex, least: float = LEAST_COVERAGE, band: int = BAND) -> list[tuple[str, float, int, int]]:
     """(name, coverage, start, end) of every template found, spans in code points, end exclusive, one per separate place."""
     found = [(m.group(), m.start(), m.end()) for m in WORD.finditer(text)]
     if not found:
         return []
     hashes = word_hashes([w.lower() for w, _, _ in found])
-    values = grams(hashes)
-    met = np.flatnonzero(np.isin(values, index.known))
-    shifts = defaultdict(list)
-    for place in met.tolist():
-        for number, own in index.places[int(values[place])]:
-            shifts[number].append(place - own)
+    hits = defaultdict(set)
+    for size, known in index.known.items():
+        values = grams(hashes, size)
+        for place in np.flatnonzero(np.isin(values, known)).tolist():
+            for number, own in index.places[size][int(values[place])]:
+                hits[number].add((place, place - own))
     out = []
-    for number in sorted(shifts):
-        words, last = index.words[number], None
-        for shift in sorted(set(shifts[number])):
-            if last is not None and shift - last <= band:
-                continue
-            last = shift
-            matched, start, end = banded_alignment(words, hashes, shift, band)
-            if matched >= least * len(words):
-                out.append((index.names[number], matched / len(words), found[start][1], found[end - 1][2]))
+    for number in sorted(hits):
+        out += [(index.names[number], matched / len(index.words[number]), found[start][1], found[end - 1][2])
+                for matched, start, end in separate_places(index.words[number], hashes, sorted(hits[number]), least, band)]
     return sorted(out, key=lambda m: (m[2], m[3], m[0]))
 
 
