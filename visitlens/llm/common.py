@@ -5,15 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 import uuid
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from visitlens.operators.sizing import checkpoint_folder
 
 
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{checkpoint_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """`df` as a Parquet table in the shared folder, read back: later jobs never run what is above it."""
     spark = df.sparkSession
-    path = f"{checkpoint_folder(spark)}/llm-{uuid.uuid4().hex}"
+    path = new_folder(spark, "llm")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

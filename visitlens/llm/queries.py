@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from visitlens.llm import decontaminate, licenses, line_chunks, mixing, near_duplicates, quality, secrets, sharding, suffixes, urls
+from visitlens.llm import (
+    decontaminate, divergence, licenses, line_chunks, mixing, near_duplicates, quality, resampling, secrets, sharding, suffixes, urls, warc,
+)
+from visitlens.llm.common import new_folder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -155,3 +158,81 @@ def op9_suffixes(spark, folder):
     return cut.select(
         "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
         F.sha2(F.coalesce("kept", F.lit("").cast("binary")), 256).alias("kept_sha256"))
+
+
+@query("op11_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+q AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest,
+  CASE WHEN strlen(html) >= 100 THEN min(page_id) OVER (PARTITION BY html) END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first < page_id THEN first END AS refers_to FROM q""")
+def op11_warc(spark, folder):
+    """Every page written into WARC archives and read back."""
+    archives = warc.write_archives(table(spark, folder, "pages"), new_folder(spark, "warc"))
+    records = warc.read_archives(spark, archives, payloads=False).filter(
+        F.when(F.col("problem").isNotNull(), F.raise_error(F.concat_ws(" ", "archive", "start", "problem")).cast("boolean"))
+        .otherwise(F.col("record_type") != "warcinfo"))
+    return records.select(
+        F.col("row_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to_row_id").cast("long").alias("refers_to"))
+
+
+AUDIT_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS text FROM documents),
+w AS (SELECT row, lang, source, unnest(regexp_extract_all(text, '{divergence.TERM}')) AS term FROM d),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS n FROM w GROUP BY 1, 2 HAVING count(DISTINCT row) >= 10),
+langs AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY 1),
+groups AS (SELECT DISTINCT lang, source FROM d),
+found AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM w JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+totals AS (SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS total FROM groups LEFT JOIN found USING (lang, source) GROUP BY 1, 2),
+p AS (SELECT lang, source, term, coalesce(f.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(f.n, 0) + 2) // (t.total + 2 * v) AS p,
+    1 + 1000000000::HUGEINT * (k.n + 2) // (l.total + 2 * v) AS q
+  FROM totals t JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN found f USING (lang, source, term)),
+pairs AS (SELECT a.lang, a.source, b.source AS item FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source),
+priced AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+both_parts AS (
+  SELECT lang, source, 'pair' AS part, item, coalesce(value, 0) AS value FROM pairs LEFT JOIN priced USING (lang, source, item)
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM both_parts)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked
+WHERE part = 'pair' OR rank <= 10"""
+
+
+@query("op12_divergence", AUDIT_SQL)
+def op12_divergence(spark, folder):
+    """How far the sources of each language lie apart, and the terms that set them off."""
+    return divergence.audit_sources(table(spark, folder, "documents"))
+
+
+# The checksum of a word in SQL: a table of 256 values by its rule, then one step per byte of the distinct words.
+RESAMPLE_SQL = rf"""
+WITH crc_table AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda c, k:
+      CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(256) AS r(i))),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{decontaminate.WORD}') AS w FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{decontaminate.WORD}') AS w FROM benchmark),
+all_words AS (SELECT DISTINCT unnest(w) AS word FROM (SELECT w FROM d UNION ALL SELECT w FROM b)),
+hashed AS (SELECT word, xor(list_reduce(list_transform(range(strlen(word)), lambda i:
+      CAST('0x' || substr(hex(encode(word)), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)), lambda c, x:
+      xor(t[CAST(xor(c, x) & 255 AS BIGINT) + 1], c >> 8), 4294967295), 4294967295) % 10000 AS bucket
+  FROM all_words, crc_table),
+s AS (SELECT bucket, count(*) AS s FROM (SELECT unnest(w) AS word FROM d) JOIN hashed USING (word) GROUP BY 1),
+t AS (SELECT bucket, count(*) AS t FROM (SELECT unnest(w) AS word FROM b) JOIN hashed USING (word) GROUP BY 1),
+sums AS (SELECT (SELECT coalesce(sum(s), 0)::DOUBLE FROM s) AS s_all, (SELECT coalesce(sum(t), 0)::DOUBLE FROM t) AS t_all),
+gains AS (SELECT r.bucket, CAST(floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (s_all + 10000) / ((coalesce(s, 0)::DOUBLE + 1) * (t_all + 10000))))
+      AS BIGINT) AS gain FROM range(10000) AS r(bucket) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket), sums),
+weights AS (SELECT doc_id, sum(gain) AS weight FROM (SELECT doc_id, unnest(w) AS word FROM d) JOIN hashed USING (word) JOIN gains USING (bucket) GROUP BY 1),
+scored AS (SELECT doc_id, len(w) AS n, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln(
+      (CAST('0x' || substr(sha256('2024:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS score
+  FROM d LEFT JOIN weights USING (doc_id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n >= 20 ORDER BY score DESC, doc_id) AS place,
+    10 * count(*) OVER (PARTITION BY n >= 20) // 100 AS drawn FROM scored)
+SELECT doc_id, CAST(n AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+  CAST(CASE WHEN n >= 20 AND place <= drawn THEN place END AS BIGINT) AS rank FROM ranked"""
+
+
+@query("op13_resample", RESAMPLE_SQL)
+def op13_resample(spark, folder):
+    """Weights of all documents towards the benchmark, and a draw of a tenth of them."""
+    return resampling.importance_resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
