@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from visitlens.llm import divergence, resampling
+from visitlens.llm.common import word_pieces
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -97,13 +98,23 @@ def test_shares_are_exact_for_large_counts():
         assert divergence.shares(counts, total).tolist() == [1 + 10**9 * (int(c) + 2) // total for c in counts]
 
 
-def test_long_texts_are_read_in_pieces(monkeypatch):
-    text = "".join(f"Wort{chr(97 + i % 26)}{'é' * (i % 40)} " for i in range(3000)) + "x" * 5000
-    whole, words = divergence._terms(text), [w for piece in resampling.word_pieces(text) for w in piece]
-    for module in (divergence, resampling):
-        monkeypatch.setattr(module, "PIECE", 64)
-    assert divergence._terms(text) == whole
-    assert [w for piece in resampling.word_pieces(text) for w in piece] == words
+def test_long_texts_are_read_in_pieces():
+    text = ("".join(f"Wort{chr(97 + i % 26)}{'é' * (i % 40)} . " for i in range(3000)) + "x" * 5000).encode()
+    for word in (divergence._TERM, resampling._WORD):
+        whole = list(word_pieces(text, word))
+        cut = list(word_pieces(text, word, 64))
+        assert len(whole) == 1 and len(cut) > 100 and [w for piece in cut for w in piece] == whole[0]
+    assert list(word_pieces(b"", divergence._TERM)) == []
+
+
+@pytest.mark.parametrize("longest", [1, 2, 4])
+def test_features_across_pieces(monkeypatch, longest):
+    text = " ".join(f"w{i * 7919 % 23}" for i in range(500)).encode()
+    whole = resampling.document_counts(text, 1000, longest)
+    monkeypatch.setattr(resampling, "word_pieces", lambda t, w: word_pieces(t, w, 7))
+    cut = resampling.document_counts(text, 1000, longest)
+    assert [x.tolist() for x in whole] == [x.tolist() for x in cut]
+    assert whole[1].sum() == resampling.least_features(500, longest)
 
 
 # resampling

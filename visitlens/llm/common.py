@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -46,3 +47,17 @@ def document_key(docs: DataFrame, id_col: str, *text_cols: str) -> Column:
     Rows alike in id and texts share a key; every operator treats them as one document and returns each of them.
     """
     return F.struct(docs[id_col].alias("id"), F.xxhash64(*[docs[c] for c in text_cols]).alias("content"))
+
+
+def word_pieces(text: bytes, word: re.Pattern, piece: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a UTF-8 text, lower-cased from A to Z, in order, about `piece` bytes of the text at a time.
+
+    `word` is a run of one class of bytes that holds all those beyond ASCII; a word is never cut.
+    """
+    text, at = text.lower(), 0
+    while at < len(text):
+        end = min(at + piece, len(text))
+        inside = word.match(text, end - 1)
+        end = max(end, inside.end()) if inside else end
+        yield word.findall(text[at:end])
+        at = end

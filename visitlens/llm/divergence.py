@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from visitlens.llm.common import written
+from visitlens.llm.common import word_pieces, written
 from visitlens.operators.skew import global_index, join_per_key
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -28,27 +28,13 @@ TOP_TERMS = 10
 
 BLOCK_BITS = 13
 TILE = 8
-FLUSH_TERMS = 200_000
-PIECE = 1 << 20
+FLUSH_TERMS = 500_000
 
-_TERM = re.compile(TERM)
-_BREAK = re.compile("[\x00-\x40\x5b-\x60\x7b-\x7f]")
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_TERM = re.compile(TERM.encode())
 
 
 # counts
 
-def _terms(text: str) -> Counter:
-    """Terms of a text with their counts, a piece of the text at a time."""
-    found, at = Counter(), 0
-    while at < len(text):
-        stop = _BREAK.search(text, at + PIECE)
-        end = stop.end() if stop else len(text)
-        found.update(_TERM.findall(text[at:end].translate(_LOWER)))
-        at = end
-    return found
-
-
 def term_counts(docs: DataFrame, lang_col: str, source_col: str, text_col: str) -> DataFrame:
     """Rows (lang, source, term, n, docs): occurrences and documents per term; term is null once per group."""
     schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
@@ -69,17 +55,19 @@ def term_counts(docs: DataFrame, lang_col: str, source_col: str, text_col: str)
             for lang, source, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 n, docs = held.setdefault((lang, source), (Counter(), Counter()))
                 size -= len(n)
-                own = _terms(text)
-                n.update(own)
-                docs.update(own.keys())
+                seen = set()
+                for terms in word_pieces(text, _TERM):
+                    n.update(terms)
+                    seen.update(terms)
+                docs.update(seen)
                 size += len(n)
                 if size > FLUSH_TERMS:
                     yield from flush()
                     held, size = {}, 0
         yield from flush()
 
-    read = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in (
-        (lang_col, "lang"), (source_col, "source"), (text_col, "text"))])
+    lang, source, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (lang_col, source_col, text_col))
+    read = docs.select(lang.alias("lang"), source.alias("source"), text.cast("binary").alias("text"))
     partial = read.mapInArrow(count, "lang string, source string, term string, n long, docs long")
     return partial.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
