@@ -9,7 +9,6 @@ weights into a draw without replacement of the highest scores.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 import re
 import zlib
@@ -18,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from visitlens.llm.common import written
+from visitlens.llm.common import word_pieces, written
 from visitlens.operators.skew import global_index
 
 BUCKETS = 10_000
@@ -28,52 +27,33 @@ SEED = "2024"
 LEAST_WORDS = 20
 PERCENT = 10
 
-PIECE = 1 << 20
-PLANES_AT_ONCE = 1 << 10
-KNOWN_FEATURES = 1 << 18
-
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_BREAK = re.compile("[\x00-\x2f\x3a-\x60\x7b-\x7f]")
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def word_pieces(text: str) -> Iterator[list[str]]:
-    """The lower-cased words of a text in order, a piece of the text at a time."""
-    at = 0
-    while at < len(text):
-        stop = _BREAK.search(text, at + PIECE)
-        end = stop.end() if stop else len(text)
-        yield _WORD.findall(text[at:end].translate(_LOWER))
-        at = end
-
-
-class _Hasher:
-    """Features to buckets; remembers frequent ones, and starts over when it holds too many."""
-
-    def __init__(self, buckets: int, longest: int):
-        self.buckets, self.longest, self.known = buckets, longest, {}
-
-    def counts(self, text: str) -> tuple[int, np.ndarray, np.ndarray]:
-        """Words of the text, its filled buckets in order and their counts."""
-        features, n_words, before = Counter(), 0, []
-        for words in word_pieces(text):
-            n_words += len(words)
-            features.update(words)
-            for size in range(2, self.longest + 1):
-                run = before[len(before) - size + 1:] + words
-                features.update(" ".join(run[i:i + size]) for i in range(len(run) - size + 1))
-            if self.longest > 1:
-                before = (before + words)[1 - self.longest:]
-        if len(self.known) > KNOWN_FEATURES:
-            self.known = {}
-        known = self.known
-        for feature in features.keys() - known.keys():
-            known[feature] = zlib.crc32(feature.encode()) % self.buckets
-        bucket = np.fromiter(map(known.__getitem__, features), np.int64, len(features))
-        filled, place = np.unique(bucket, return_inverse=True)
-        sums = np.zeros(len(filled), np.int64)
-        np.add.at(sums, place, np.fromiter(features.values(), np.int64, len(features)))
-        return n_words, filled, sums
+DOCUMENTS_AT_ONCE = 128
+
+_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def feature_buckets(text: bytes, buckets: int, longest: int) -> Iterator[np.ndarray]:
+    """The buckets of the features of a text, a piece of the text at a time; single words first in every piece."""
+    before: list[bytes] = []
+    for words in word_pieces(text, _WORD):
+        features = words
+        for size in range(2, longest + 1):
+            run = before[max(len(before) - size + 1, 0):] + words
+            features = features + [b" ".join(run[i:i + size]) for i in range(len(run) - size + 1)]
+        before = (before + words)[1 - longest:] if longest > 1 else []
+        yield np.fromiter(map(zlib.crc32, features), np.int64, len(features)) % buckets
+
+
+def document_counts(text: bytes, buckets: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Filled buckets of a text in order and how many features each holds."""
+    parts = [np.unique(b, return_counts=True) for b in feature_buckets(text, buckets, longest)]
+    if len(parts) < 2:
+        return parts[0] if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    total = np.zeros(buckets, np.int64)
+    for place, n in parts:
+        total[place] += n
+    filled = np.flatnonzero(total)
+    return filled, total[filled]
 
 
 # corpus counts and gains
@@ -81,15 +61,15 @@ class _Hasher:
 def bucket_counts(texts: DataFrame, text_col: str, buckets: int = BUCKETS, longest: int = LONGEST_RUN) -> DataFrame:
     """Rows (bucket, n) of the filled buckets of all texts; a task sends at most one row per bucket."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, total = _Hasher(buckets, longest), np.zeros(buckets, np.int64)
+        total = np.zeros(buckets, np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                _, filled, sums = hasher.counts(text)
-                total[filled] += sums
+                for found in feature_buckets(text, buckets, longest):
+                    np.add.at(total, found, 1)
         filled = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(filled, pa.int32()), "n": pa.array(total[filled], pa.int64())})
 
-    read = texts.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    read = texts.select(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
     return read.mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
@@ -162,23 +142,22 @@ def plane_weights(filled: list[np.ndarray], sums: list[np.ndarray], buckets: int
 def document_weights(
     docs: DataFrame, gains: np.ndarray, id_col: str, text_col: str, longest: int = LONGEST_RUN,
 ) -> DataFrame:
-    """Rows (`id_col`, n_words, n_features, weight) of all documents; null texts have no features and weight 0."""
+    """Rows (`id_col`, n_features, weight) of all documents; null texts have no features and weight 0."""
     buckets, planes = len(gains), gain_planes(gains)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = _Hasher(buckets, longest)
         for batch in batches:
-            for part in range(0, batch.num_rows, PLANES_AT_ONCE // 4):
-                rows = batch.slice(part, PLANES_AT_ONCE // 4)
-                words, filled, sums = zip(*map(hasher.counts, rows.column(1).to_pylist()))
+            for part in range(0, batch.num_rows, DOCUMENTS_AT_ONCE):
+                rows = batch.slice(part, DOCUMENTS_AT_ONCE)
+                filled, sums = zip(*(document_counts(text, buckets, longest) for text in rows.column(1).to_pylist()))
+                n = np.array([s.sum() for s in sums], np.int64)
                 yield pa.RecordBatch.from_arrays([
-                    rows.column(0), pa.array(words, pa.int64()), pa.array([int(s.sum()) for s in sums], pa.int64()),
-                    pa.array(plane_weights(filled, sums, buckets, planes), pa.int64())],
-                    names=["id", "n_words", "n_features", "weight"])
+                    rows.column(0), pa.array(n, pa.int64()),
+                    pa.array(plane_weights(filled, sums, buckets, planes), pa.int64())], names=["id", "n_features", "weight"])
 
-    read = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    read = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
     kind = read.schema["id"].dataType.simpleString()
-    return read.mapInArrow(weigh, f"id {kind}, n_words long, n_features long, weight long").withColumnRenamed("id", id_col)
+    return read.mapInArrow(weigh, f"id {kind}, n_features long, weight long").withColumnRenamed("id", id_col)
 
 
 # draw
@@ -190,6 +169,11 @@ def noise(id_col: str, seed: str = SEED, scale: int = GAIN_SCALE):
     return F.floor(-float(scale) * F.ln(-F.ln((h + 0.5) / 4294967296.0))).cast("long")
 
 
+def least_features(words: int, longest: int) -> int:
+    """Features of a text of `words` words; more words never have fewer."""
+    return sum(max(words - size + 1, 0) for size in range(1, longest + 1))
+
+
 def importance_resample(
     docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_text_col: str = "text",
     buckets: int = BUCKETS, longest: int = LONGEST_RUN, least_words: int = LEAST_WORDS, percent: int = PERCENT, seed: str = SEED,
@@ -205,7 +189,7 @@ def importance_resample(
     gains = bucket_gains(bucket_counts(docs, text_col, buckets, longest), bucket_counts(target, target_text_col, buckets, longest), buckets)
     weighed = document_weights(docs, gains, id_col, text_col, longest)
     scored = written(weighed.withColumn("score", F.col("weight") + noise(id_col, seed)))
-    many = F.col("n_words") >= least_words
+    many = F.col("n_features") >= least_features(least_words, longest)
     drawn = percent * scored.filter(many).count() // 100
     # A range sort numbers the documents that take part; the others stand behind them.
     placed = global_index(scored, [F.desc(many), F.desc("score"), F.asc_nulls_first(id_col)], "_place")
