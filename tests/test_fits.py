@@ -308,6 +308,6 @@ def test_design_has_one_cell_per_distinct_combination(spark):
     assert sorted((r["g"], r["_w"]) for r in design.cells.collect()) == [("a", 4.0), ("b", 1.0)]
 
 
-def test_too_many_levels_are_refused(spark):
+def test_dense_design_refuses_many_levels(spark):
     with pytest.raises(ValueError, match="levels"):
         build_design(spark.range(5_000).select(F.col("id").cast("string").alias("g"), F.lit(1.0).alias("y")), [Factor("g")], "y")

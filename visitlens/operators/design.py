@@ -122,17 +122,47 @@ def build_design(
 
     `offset` is an SQL expression. `keep` names columns carried along unchanged (they split cells).
     """
+    cells = design_cells(df, terms, response, offset, to_cells, keep)
+    return design_of(cells, terms)
+
+
+def design_cells(
+    df: DataFrame, terms: Sequence[Term], response: str, offset: str | None = None, to_cells: bool = True, keep: Sequence[str] = (),
+) -> DataFrame:
+    """The used columns of complete rows with response, offset and weight; equal rows as one durable cell."""
     raw: dict[str, Column] = {}
     for term in terms:
         raw.update(term.raw())
     used = {**raw, RESPONSE: F.expr(response).cast("double"), OFFSET: F.expr(offset or "0").cast("double")}
     rows = df.select(*[c.alias(n) for n, c in used.items()], *[k for k in keep if k not in used]).dropna(subset=list(used))
-    if to_cells:
-        cells = durable(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).cast("double").alias(WEIGHT)))
-    else:
-        cells = rows.withColumn(WEIGHT, F.lit(1.0))
+    if not to_cells:
+        return rows.withColumn(WEIGHT, F.lit(1.0))
+    return durable(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).cast("double").alias(WEIGHT)))
+
+
+def find_levels(cells: DataFrame, terms: Sequence[Term]) -> dict[str, list | None]:
+    """Sorted levels per factor with the reference first; None for a factor of more than `MAX_LEVELS`."""
     factors = {f.name: f for t in terms for f in ((t.left, t.right) if isinstance(t, Product) else (t,)) if isinstance(f, Factor)}
-    levels = _levels(cells, factors)
+    levels: dict[str, list | None] = {}
+    for name, factor in factors.items():
+        found = cells.select(f"`{name}`").distinct().limit(MAX_LEVELS + 1).collect()
+        if len(found) > MAX_LEVELS:
+            levels[name] = None
+            continue
+        values = sorted(r[0] for r in found)
+        if factor.reference is not None:
+            first = next(v for v in values if level_text(v) == level_text(factor.reference))
+            values = [first, *(v for v in values if v != first)]
+        levels[name] = values
+    return levels
+
+
+def design_of(cells: DataFrame, terms: Sequence[Term], levels: dict[str, list | None] | None = None) -> Design:
+    """Dense model columns over cells; `levels` as `find_levels` gives them, if it was asked already."""
+    levels = find_levels(cells, terms) if levels is None else levels
+    for name, values in levels.items():
+        if values is None:
+            raise ValueError(f"{name} has more than {MAX_LEVELS} levels: linear, logistic and Poisson fits and sparse designs take them, dense models do not")
 
     def columns_of(term: Term) -> dict[str, Column]:
         if isinstance(term, Numeric):
@@ -155,21 +185,6 @@ def build_design(
     return Design(cells, columns, term_of, levels)
 
 
-def _levels(cells: DataFrame, factors: dict[str, Factor]) -> dict[str, list]:
-    """Sorted levels per factor with the reference first, the number of levels checked."""
-    levels = {}
-    for name, factor in factors.items():
-        found = cells.select(f"`{name}`").distinct().limit(MAX_LEVELS + 1).collect()
-        if len(found) > MAX_LEVELS:
-            raise ValueError(f"{name} has more than {MAX_LEVELS} levels: lump the rare ones first")
-        values = sorted(r[0] for r in found)
-        if factor.reference is not None:
-            first = next(v for v in values if level_text(v) == level_text(factor.reference))
-            values = [first, *(v for v in values if v != first)]
-        levels[name] = values
-    return levels
-
-
 def _bind(value: Column, body) -> Column:
     """`body(value)` with the value evaluated once per row, however often the body uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -199,9 +214,12 @@ def working_products(df: DataFrame, columns: Sequence[Column], link: Column, wei
     return _gram(df, _bind(link, weighted), len(columns) + 1)
 
 
-def independent_columns(gram: np.ndarray, tolerance: float = 1e-11) -> list[int]:
-    """Columns that are not combinations of earlier ones, by a Cholesky sweep in the given order."""
-    scale = np.sqrt(np.maximum(np.diag(gram), 1e-300))
+def independent_columns(gram: np.ndarray, tolerance: float = 1e-11, scale: np.ndarray | None = None) -> list[int]:
+    """Columns that are not combinations of earlier ones, by a Cholesky sweep in the given order.
+
+    `scale` has the squares of the columns before others were eliminated, where some were.
+    """
+    scale = np.sqrt(np.maximum(np.diag(gram) if scale is None else scale, 1e-300))
     work = gram / np.outer(scale, scale)
     kept: list[int] = []
     for j in range(len(work)):

@@ -16,12 +16,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from visitlens.functions import special
 from visitlens.operators.design import (
-    INTERCEPT, OFFSET, RESPONSE, WEIGHT, Design, Term, build_design, cross_products, dot, independent_columns,
-    inverse as invert, working_products,
+    INTERCEPT, OFFSET, RESPONSE, WEIGHT, Design, Term, cross_products, design_cells, design_of, dot, independent_columns,
+    find_levels, inverse as invert, working_products,
 )
 from visitlens.operators.sizing import durable, local_table, rows_if_small
-
-TERMS_SCHEMA = "term string, estimate double, std_error double, statistic double, p_value double"
+from visitlens.operators.wide import TERMS_SCHEMA, WideFit, fit_wide
 
 
 @dataclass
@@ -98,9 +97,16 @@ class Fit:
         return df.withColumn(out, F.when(known, self.response() if response_scale else self.link()))
 
 
-def fit_linear(df: DataFrame, terms: Sequence[Term], response: str, offset: str | None = None, **options) -> Fit:
-    """Least squares from a single cross-product pass."""
-    design = build_design(df, terms, response, offset, **options)
+def fit_linear(df: DataFrame, terms: Sequence[Term], response: str, offset: str | None = None, **options) -> Fit | WideFit:
+    """Least squares from a single cross-product pass.
+
+    A factor of more levels than a dense matrix should hold gives a `WideFit`, whose level effects are a table.
+    """
+    cells = design_cells(df, terms, response, offset, **options)
+    levels = find_levels(cells, terms)
+    if None in levels.values():
+        return fit_wide(cells, terms, "gaussian", levels)
+    design = design_of(cells, terms, levels)
     y = F.col(RESPONSE) - F.col(OFFSET)
     columns = list(design.columns.values())
     whole = cross_products(design.cells, [*columns, y, F.col(RESPONSE)], F.col(WEIGHT))
@@ -133,9 +139,16 @@ def fit_linear(df: DataFrame, terms: Sequence[Term], response: str, offset: str
 MOST_STEPS = 50
 
 
-def fit_glm(df: DataFrame, terms: Sequence[Term], response: str, family: str, offset: str | None = None, **options) -> Fit:
-    """Binomial or Poisson model with its canonical link, fitted by Spark's generalised linear regression."""
-    design = build_design(df, terms, response, offset, **options)
+def fit_glm(df: DataFrame, terms: Sequence[Term], response: str, family: str, offset: str | None = None, **options) -> Fit | WideFit:
+    """Binomial or Poisson model with its canonical link, fitted by Spark's generalised linear regression.
+
+    A factor of more levels than a dense matrix should hold gives a `WideFit`, whose level effects are a table.
+    """
+    cells = design_cells(df, terms, response, offset, **options)
+    levels = find_levels(cells, terms)
+    if None in levels.values():
+        return fit_wide(_trials(cells) if family == "binomial" else cells, terms, family, levels)
+    design = design_of(cells, terms, levels)
     if family == "binomial":
         design.uncounted, design.cells = design.cells, _trials(design.cells)
     elif not options.get("to_cells", True):
@@ -208,6 +221,8 @@ def fit_negative_binomial(
     weighted cross-product pass for the coefficients.
     """
     start = fit_glm(df, terms, response, "poisson", offset, **options)
+    if isinstance(start, WideFit):
+        raise ValueError("a negative-binomial fit is dense: lump the rare levels of its factors first")
     design, kept, n = start.design, start.kept, start.n
     columns = [list(design.columns.values())[i] for i in kept]
     counts = _counts(design.cells)
