@@ -9,7 +9,8 @@ from checks.base import check, rounded, rounded_sql as rs
 from checks.joins_and_aggregates import ORDER, admissions, severity
 from checks.newton_sql import fit as fit_sql, recursive, t_two_sided
 from visitlens.operators import fits as M, grouped_fits as G
-from visitlens.operators.design import Factor, Numeric, Product
+from visitlens.operators.design import Factor, Numeric, Product, design_cells
+from visitlens.operators.wide import eliminated_fit
 from visitlens.plans import diagnosis as D, rates as R
 
 TERM_COLUMNS = ["estimate", "std_error", "statistic", "p_value"]
@@ -92,6 +93,30 @@ def ols_offset(spark, d):
     return terms_out(rate_fit(rates(spark, d)).terms(spark))
 
 
+MANY_LEVELS = f"""{A.views('severity')}, c AS (SELECT patient_id AS g, CAST(severity AS DOUBLE) AS y, CAST(year_since AS DOUBLE) AS a, CAST(urgency AS DOUBLE) AS b FROM severity),
+    m AS (SELECT g, CAST(count(*) AS DOUBLE) AS n, avg(y) AS my, avg(a) AS ma, avg(b) AS mb FROM c GROUP BY g),
+    s AS (SELECT count(*) AS n, sum((a - ma) * (a - ma)) AS aa, sum((a - ma) * (b - mb)) AS ab, sum((b - mb) * (b - mb)) AS bb, sum((a - ma) * (y - my)) AS ta,
+        sum((b - mb) * (y - my)) AS tb, sum((y - my) * (y - my)) AS yy FROM c JOIN m USING (g)),
+    f AS (SELECT *, (bb * ta - ab * tb) / det AS ba, (aa * tb - ab * ta) / det AS bw, bb / det AS iaa, -ab / det AS iab, aa / det AS ibb
+        FROM (SELECT *, aa * bb - ab * ab AS det FROM s)),
+    v AS (SELECT *, (yy - ba * ta - bw * tb) / (n - (SELECT count(*) FROM m) - 2) AS s2 FROM f),
+    r AS (SELECT * FROM m ORDER BY g LIMIT 1),
+    t AS (SELECT '(Intercept)' AS term, my - ba * ma - bw * mb AS estimate, sqrt(s2 * (1 / r.n + ma * ma * iaa + 2 * ma * mb * iab + mb * mb * ibb)) AS std_error FROM r, v
+      UNION ALL SELECT 'year_since', ba, sqrt(s2 * iaa) FROM v UNION ALL SELECT 'urgency', bw, sqrt(s2 * ibb) FROM v
+      UNION ALL SELECT 'patient_id' || CAST(m.g AS VARCHAR), (m.my - ba * m.ma - bw * m.mb) - (r.my - ba * r.ma - bw * r.mb),
+        sqrt(s2 * (1 / m.n + 1 / r.n + (m.ma - r.ma) * (m.ma - r.ma) * iaa + 2 * (m.ma - r.ma) * (m.mb - r.mb) * iab + (m.mb - r.mb) * (m.mb - r.mb) * ibb))
+        FROM m, r, v WHERE m.g <> r.g)"""
+
+
+@check("ols_many_levels", f"{MANY_LEVELS} SELECT term, {rs('estimate', 5)} AS estimate, {rs('std_error', 5)} AS std_error, {rs('estimate / std_error', 4)} AS statistic FROM t")
+def ols_many_levels(spark, d):
+    """An effect of its own for every patient, however many there are."""
+    terms = [Numeric("year_since"), Numeric("urgency")]
+    cells = design_cells(severity(spark, d), [*terms, Factor("patient_id")], "severity")
+    fit = eliminated_fit(cells, terms, Factor("patient_id"), "gaussian")
+    return fit.terms(spark).select("term", *[rounded(F.col(c), k).alias(c) for c, k in (("estimate", 5), ("std_error", 5), ("statistic", 4))])
+
+
 SUBSETS = {"capital": ["0", "1", "1.5"], "rest": ["0", "3", "4"]}
 
 

@@ -9,7 +9,7 @@ from checks.models import (
     AUGMENT, BACK_REGION, ETA, LINES, LOG_POPULATION, MAIN_TERMS, OLS_CELLS, OLS_NAMES, RATE_NAMES, RATE_TERMS, augmented, bias_by_region, cell_sql,
     NEGATIVE_SQL, POISSON_CELLS, letter_years, main_fit, rate_cells, rate_fit, rates, rates_filled, second_fit, with_fit,
 )
-from checks.newton_sql import _solve, normal_quantile, normal_two_sided
+from checks.newton_sql import _solve, normal_quantile, normal_two_sided, recursive
 from visitlens.operators import distributions as X, fits as M, forest as FO, normality as N, plotdata as P, series as SE, smooth_and_mixed as SM
 from visitlens.operators.design import Factor, Numeric, Product
 from visitlens.plans import cohort as C
@@ -86,25 +86,47 @@ def aic_compare(spark, d):
 
 # --- tests -----------------------------------------------------------------------------------
 
-ADF_ORDER = 21
-
-
-def adf_sql(order):
-    names = ["(Intercept)", "level", "at", *[f"lag{j}" for j in range(1, order + 1)]]
-    lagged = ", ".join(f"lag(step, {j}) OVER (ORDER BY i) AS l{j}" for j in range(1, order + 1))
-    xs = ", ".join(["CAST(1 AS DOUBLE) AS x0", "level AS x1", "CAST(i AS DOUBLE) AS x2", *[f"l{j} AS x{j + 2}" for j in range(1, order + 1)]])
-    cells = f"""SELECT {xs}, step AS y, CAST(0 AS DOUBLE) AS off, CAST(1 AS DOUBLE) AS w FROM (SELECT i, v AS level, step, {lagged} FROM
-        (SELECT i, v, lead(v) OVER (ORDER BY i) - v AS step FROM (SELECT row_number() OVER (ORDER BY ts, event_id) AS i, value AS v FROM series)) WHERE step IS NOT NULL) WHERE i > {order}"""
-    return with_fit(["series"], cells, names) + f"SELECT {rs('statistic', 4)} AS statistic, {order} AS lag_order FROM terms WHERE term = 'level'"
+# Published critical values of the unit-root statistic with trend, by size of the series.
+UNIT_ROOT = """(VALUES (25, [-4.38, -3.95, -3.60, -3.24, -1.14, -0.80, -0.50, -0.15]), (50, [-4.15, -3.80, -3.50, -3.18, -1.19, -0.87, -0.58, -0.24]),
+    (100, [-4.04, -3.73, -3.45, -3.15, -1.22, -0.90, -0.62, -0.28]), (250, [-3.99, -3.69, -3.43, -3.13, -1.23, -0.92, -0.64, -0.31]),
+    (500, [-3.98, -3.68, -3.42, -3.13, -1.24, -0.93, -0.65, -0.32]), (100000, [-3.96, -3.66, -3.41, -3.12, -1.25, -0.94, -0.66, -0.33]))"""
+
+# The regression in long form, column by column; the order follows from the number of rows, and the system is solved one pivot at a time.
+ADF_SQL = f"""{recursive(A.views('series'))}, x AS (SELECT row_number() OVER (ORDER BY ts, event_id) AS i, value AS v FROM series),
+    o AS (SELECT count(*) AS n, CAST(floor(pow(count(*) - 1, 1.0 / 3) + 1e-9) AS BIGINT) AS k FROM x),
+    s AS (SELECT i, v AS level, step FROM (SELECT i, v, lead(v) OVER (ORDER BY i) - v AS step FROM x) WHERE step IS NOT NULL),
+    u AS (SELECT s.* FROM s, o WHERE i > k),
+    z AS (SELECT i, CAST(0 AS BIGINT) AS c, CAST(1 AS DOUBLE) AS v FROM u UNION ALL SELECT i, 1, level - (SELECT avg(level) FROM u) FROM u
+        UNION ALL SELECT i, 2, i - (SELECT avg(i) FROM u) FROM u
+        UNION ALL SELECT u.i, u.i - s.i + 2, s.step FROM u JOIN o ON true JOIN s ON s.i >= u.i - k AND s.i < u.i
+        UNION ALL SELECT i, k + 3, step FROM u, o),
+    g AS (SELECT a.c AS r, b.c AS c, sum(a.v * b.v) AS v FROM z a JOIN z b ON a.i = b.i GROUP BY 1, 2),
+    w(p, r, c, v) AS (SELECT CAST(0 AS BIGINT), r, c, v FROM g UNION ALL
+        SELECT m.p + 1, m.r, m.c, CASE WHEN m.r = m.p AND m.c = m.p THEN 1 / d.v WHEN m.r = m.p THEN m.v / d.v WHEN m.c = m.p THEN -m.v / d.v
+            ELSE m.v - a.v * b.v / d.v END
+        FROM w m JOIN w d ON d.r = m.p AND d.c = m.p JOIN w a ON a.r = m.r AND a.c = m.p JOIN w b ON b.r = m.p AND b.c = m.c, o WHERE m.p < k + 3),
+    f AS (SELECT max(CASE WHEN r = 1 AND c = k + 3 THEN v END) AS b, max(CASE WHEN r = 1 AND c = 1 THEN v END) AS inv, max(CASE WHEN r = k + 3 AND c = k + 3 THEN v END) AS rss,
+        (SELECT count(*) FROM u) - max(k) - 3 AS dof FROM w, o WHERE p = k + 3),
+    t AS (SELECT b / sqrt(rss / dof * inv) AS statistic FROM f),
+    table_of(size, v) AS (SELECT * FROM {UNIT_ROOT}),
+    lo AS (SELECT * FROM table_of, o WHERE size <= greatest(least(n - 1, 100000), 25) ORDER BY size DESC LIMIT 1),
+    hi AS (SELECT * FROM table_of, o WHERE size >= greatest(least(n - 1, 100000), 25) ORDER BY size LIMIT 1),
+    crit AS (SELECT unnest([0.01, 0.025, 0.05, 0.10, 0.90, 0.95, 0.975, 0.99]) AS level, unnest(list_transform(range(1, 9), lambda j: CAST(lo.v[j] AS DOUBLE)
+        + CASE WHEN hi.size > lo.size THEN (greatest(least(lo.n - 1, 100000), 25) - lo.size) * (hi.v[j] - lo.v[j]) / CAST(hi.size - lo.size AS DOUBLE) ELSE 0 END)) AS point FROM lo, hi),
+    line AS (SELECT level, point, lead(level) OVER (ORDER BY point) AS next_level, lead(point) OVER (ORDER BY point) AS next_point FROM crit)
+    SELECT {rs('statistic', 4)} AS statistic, CAST(k AS INTEGER) AS lag_order, {rs("""CASE WHEN statistic <= (SELECT min(point) FROM crit) THEN 0.01 WHEN statistic >= (SELECT max(point) FROM crit) THEN 0.99
+        ELSE (SELECT max(level + (statistic - point) / (next_point - point) * (next_level - level)) FROM line WHERE statistic >= point AND statistic < next_point) END""")} AS p_value FROM t, o"""
 
 
 def placed(spark, d):
     return SE.indexed(A.series(spark, d), ["ts", "event_id"])
 
 
-@check("adf_test", adf_sql(ADF_ORDER))
+@check("adf_test", ADF_SQL)
 def adf_test(spark, d):
-    return N.adf_test(placed(spark, d), "value", "position", ADF_ORDER).select(rounded(F.col("statistic"), 4).alias("statistic"), "lag_order")
+    """At its default order, which grows with the series."""
+    return N.adf_test(placed(spark, d), "value", "position").select(
+        rounded(F.col("statistic"), 4).alias("statistic"), "lag_order", rounded(F.col("p_value")).alias("p_value"))
 
 
 RESIDUALS = f"res AS (SELECT y - off - ({ETA}) AS r, {ETA} + off AS fitted, x0, x1, x2, x3, x4, x5, w FROM cells, model)"

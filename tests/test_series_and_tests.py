@@ -72,6 +72,32 @@ def test_unit_root_is_rejected_for_noise_only(spark, placed):
     assert row["lag_order"] == 8 and row["p_value"] > 0.02
 
 
+def test_products_of_lags_follow_from_the_first_row():
+    y, first, order = RNG.normal(size=60), 13, 9
+    lagged = np.stack([y[first - j:60 - j] for j in range(order + 1)])
+    whole = lagged @ lagged.T
+    before, last = (np.array([y[at - 1 - j] for j in range(order + 1)]) for at in (first, 60))
+    np.testing.assert_allclose(normality.lag_products(whole[0], before, last), whole, rtol=1e-9, atol=1e-9)
+
+
+@pytest.mark.parametrize("n, order", [(2, 1), (9, 2), (10, 2), (1001, 10), (1000, 9), (10**9 + 1, 1000)])
+def test_default_order_is_the_whole_cube_root(n, order):
+    assert normality.default_order(n) == order
+
+
+@pytest.mark.parametrize("values", [[], [1.0], [1.0, 2.0, 4.0], [float(i) for i in range(40)], [3.0] * 40])
+def test_unit_root_without_an_answer(spark, values):
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "t int, x double")
+    got = normality.adf_test(series.indexed(rows, ["t"]), "x", "position").first()
+    assert got["statistic"] is None and got["p_value"] is None
+
+
+def test_unit_root_of_a_high_order_in_small_blocks(spark, placed, walk):
+    """Blocks shorter than the look-back grow to it, and the order costs no more columns of a table."""
+    whole, cut = (normality.adf_test(placed, "x", "position", 150, block).first() for block in (50_000, 160))
+    assert whole["statistic"] == pytest.approx(cut["statistic"], rel=1e-7) and whole["lag_order"] == 150
+
+
 SAMPLE = [0.11, 7.87, 4.61, 10.14, 7.95, 3.14, 0.46, 4.43, 0.21, 4.75, 0.71, 1.52, 3.24, 0.93, 0.42, 4.97, 9.53, 4.55, 0.47, 6.66]
 WEIGHTS = [148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236]
 

@@ -6,14 +6,14 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.stat import KolmogorovSmirnovTest
 from pyspark.sql import Column, DataFrame, functions as F
 
 from visitlens.functions import special
-from visitlens.operators.design import Numeric
-from visitlens.operators.fits import fit_linear
-from visitlens.operators.series import BLOCK, difference, lags
-from visitlens.operators.sizing import local_table
+from visitlens.operators.design import independent_columns, inverse
+from visitlens.operators.series import BLOCK, difference, with_halo
+from visitlens.operators.sizing import durable, local_table
 from visitlens.operators.skew import join_per_key, number_rows
 
 # Royston's polynomials for the two outermost weights and for the p-value.
@@ -108,25 +108,92 @@ def ks_normal(df: DataFrame, value: str) -> DataFrame:
     return tested.select(F.lit(n).alias("n"), F.col("statistic"), F.col("pValue").alias("p_value"))
 
 
+def default_order(n: int) -> int:
+    """Steps looked back on by default: the cube root of the number of steps, cut to a whole number."""
+    steps = max(n - 1, 0)
+    order = round(steps ** (1 / 3))
+    return order if order**3 <= steps else order - 1
+
+
+def lag_sums(steps: DataFrame, order: int, first: int, level_mean: float, middle: float, block: int = BLOCK) -> np.ndarray:
+    """Per lag j from 0 to `order`: sums over t >= `first` of y[t - j] times y[t], the centred level, the centred time and 1.
+
+    `steps` has `_at` (t), `_step` (y) and `_level`. Blocks with a halo of `order` rows cost rows times order.
+    """
+    def sums(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_at")
+        y, at = rows["_step"].to_numpy(), rows["_at"].to_numpy()
+        use = np.flatnonzero(rows["_own"].to_numpy() & (at >= first))
+        if not len(use):
+            return pd.DataFrame({"lag": [], "s0": [], "s1": [], "s2": [], "s3": []})
+        a, b = use[0], use[-1] + 1
+        against = np.stack([y[a:b], rows["_level"].to_numpy()[a:b] - level_mean, at[a:b] - middle, np.ones(b - a)])
+        found = np.stack([against @ y[a - j:b - j] for j in range(order + 1)])
+        return pd.DataFrame({"lag": np.arange(order + 1), **{f"s{i}": found[:, i] for i in range(4)}})
+
+    halo = with_halo(steps, "_at", order, max(block, order, 1))
+    parts = halo.groupBy("_block").applyInPandas(sums, "lag int, s0 double, s1 double, s2 double, s3 double")
+    rows = parts.groupBy("lag").agg(*[F.sum(f"s{i}") for i in range(4)]).orderBy("lag").collect()
+    return np.array([r[1:] for r in rows], float).reshape(-1, 4)
+
+
+def lag_products(row: np.ndarray, before: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """All products of lags i and j from those of lag 0 with j.
+
+    Looking one step further back moves both ends of the sums: the product of the values before the first row comes in, that of the
+    last ones goes.
+    """
+    size = len(row)
+    out = np.empty((size, size))
+    out[0] = row
+    for i in range(size - 1):
+        out[i + 1, 0] = row[i + 1]
+        out[i + 1, 1:] = out[i, :-1] + before[i] * before[:size - 1] - last[i] * last[:size - 1]
+    return out
+
+
 def adf_test(series: DataFrame, value: str, position: str, order: int | None = None, block: int = BLOCK) -> DataFrame:
     """Unit-root test with trend: (statistic, lag_order, p_value) for an indexed series.
 
-    The regression has one row per position, its lags come from blocks with a halo, and the fit is one
-    cross-product pass. p-values outside the published table are its end points.
+    The normal equations of a regression on the level, the time and `order` earlier steps are put together from sums per lag, as
+    the block of the lags follows from its first row and the values at both ends. The driver gets `order` rows of sums and
+    2 x `order` values. p-values outside the published table are its end points. The statistic is null where nothing is left to fit.
     """
-    n = series.agg(F.max(position)).first()[0]
-    order = int((n - 1) ** (1 / 3)) if order is None else order
-    k = order + 1
-    steps = difference(series, value, position, "_step", block)
-    depth = max(order, 1)
-    table = lags(steps.select(position, value, "_step").withColumn("_at", F.col(position) - 1), "_step", "_at", depth, max(block, depth))
-    # The level before the step, and only rows whose lags all exist.
-    ready = table.filter(F.col("_at") >= k).withColumn("_level", F.col(value) - F.col("_step"))
-    terms = [Numeric("_level"), Numeric("_at"), *[Numeric(f"lag_{j}") for j in range(1, order + 1)]]
-    fit = fit_linear(ready, terms, "_step", to_cells=False)
-    statistic = fit.estimates[1] / fit.std_errors[1]
+    n = series.agg(F.max(position)).first()[0] or 0
+    order = default_order(n) if order is None else order
+    first = order + 1
+    steps = durable(difference(series.select(position, value), value, position, "_step", block).select(
+        (F.col(position) - 1).alias("_at"), "_step", (F.col(value) - F.col("_step")).alias("_level")))
+    size = n - 1 - order
+    if size <= order + 3:
+        return local_table(series.sparkSession, [(None, order, None)], "statistic double, lag_order int, p_value double")
+    used = steps.filter(F.col("_at") >= first)
+    mean, middle = used.agg(F.avg("_level")).first()[0], (first + n - 1) / 2
+    level, time = F.col("_level") - F.lit(mean), F.col("_at") - F.lit(middle)
+    plain = used.agg(F.sum(level), F.sum(level * level), F.sum(level * time), F.sum(time * time)).first()
+    sums = lag_sums(steps, order, first, mean, middle, block)
+    ends = dict(tuple(r) for r in steps.filter((F.col("_at") <= order) | (F.col("_at") >= n - order)).select("_at", "_step").collect())
+    lags = np.arange(order + 1)
+    products = lag_products(
+        sums[:, 0], np.array([ends.get(order - i, 0.0) for i in lags]), np.array([ends.get(n - 1 - i, 0.0) for i in lags]))
+    # Columns: constant, level, time, lags 1 to order; the step itself is lag 0.
+    p = order + 3
+    gram, moments = np.empty((p, p)), np.empty(p)
+    gram[:3, :3] = [[size, plain[0], 0.0], [plain[0], plain[1], plain[2]], [0.0, plain[2], plain[3]]]
+    across = sums[:, [3, 1, 2]].T
+    gram[:3, 3:], gram[3:, :3], gram[3:, 3:] = across[:, 1:], across[:, 1:].T, products[1:, 1:]
+    moments[:3], moments[3:] = across[:, 0], products[0, 1:]
+    kept = independent_columns(gram)
+    if 1 not in kept:
+        return local_table(series.sparkSession, [(None, order, None)], "statistic double, lag_order int, p_value double")
+    inverted = inverse(gram[np.ix_(kept, kept)])
+    beta = inverted @ moments[kept]
+    rss = max(products[0, 0] - beta @ moments[kept], 0.0)
+    at = kept.index(1)
+    statistic = beta[at] / math.sqrt(rss / (size - len(kept)) * inverted[at, at]) if rss > 1e-12 * products[0, 0] else math.nan
     critical = [float(np.interp(n - 1, UNIT_ROOT_SIZES, row)) for row in UNIT_ROOT_VALUES]
-    p = float(np.interp(statistic, critical, UNIT_ROOT_LEVELS))
+    known = statistic == statistic
+    p_value = float(np.interp(statistic, critical, UNIT_ROOT_LEVELS)) if known else None
     return local_table(
-        series.sparkSession, [(float(statistic), order, p)], "statistic double, lag_order int, p_value double"
+        series.sparkSession, [(float(statistic) if known else None, order, p_value)], "statistic double, lag_order int, p_value double"
     )
