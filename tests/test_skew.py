@@ -74,6 +74,32 @@ def test_quantiles_without_group_buffers(skewed):
         np.testing.assert_allclose(spread[key], values, atol=1e-9)
 
 
+@pytest.mark.parametrize("longest", [1_000_000, 50])
+def test_quantiles_of_long_groups_come_from_brackets(spark, monkeypatch, longest):
+    """Long and short groups, a null key, ties, a constant group, and quantiles at and next to both ends."""
+    i = F.col("id")
+    rows = spark.range(200_000).select(
+        F.when(i < 90_000, "wide").when(i < 130_000, "ties").when(i < 160_000, "flat").when(i < 185_000, None)
+        .otherwise(F.concat(F.lit("s"), i % 700)).alias("k"),
+        F.when(i < 90_000, F.pmod(F.xxhash64(i), F.lit(1_000_003)) / 7.0).when(i < 130_000, F.when(i % 3 == 0, 5.0).otherwise((i % 40).cast("double")))
+        .when(i < 160_000, 2.5).otherwise(F.pmod(F.xxhash64(i), F.lit(997)).cast("double")).alias("v"))
+    rows = rows.unionByName(spark.createDataFrame([("wide", None), ("none", None)], "k string, v double")).repartition(7)
+    probabilities = [0.5, 0.0, 0.0004, 0.025, 0.25, 0.975, 0.9999, 1.0]
+    monkeypatch.setattr(summaries, "LONGEST_BRACKET", longest)
+    plain, found = ({r["k"]: r["q"] for r in summaries.quantiles(rows, ["k"], "v", probabilities, "q", spread=s).collect()} for s in (False, True))
+    assert len(found) == 704 and found.keys() == plain.keys()
+    for k in plain:
+        assert found[k] == pytest.approx(plain[k], rel=1e-12)
+
+
+def test_quantiles_sort_no_rows(spark, monkeypatch):
+    """Rows are aggregated, never ranked."""
+    monkeypatch.setattr(summaries, "number_rows", None)
+    rows = spark.range(60_000).select(F.lit("a").alias("k"), F.pmod(F.xxhash64("id"), F.lit(50_000)).cast("double").alias("v"))
+    assert summaries.quantiles(rows, ["k"], "v", [0.1]).count() == 1
+    assert summaries.quantiles(rows.filter("v < 0"), ["k"], "v", [0.1]).count() == 0
+
+
 def test_overall_quantiles_need_no_key(skewed):
     got = summaries.quantiles(skewed, [], "v", [0.5], "q", spread=True).first()["q"][0]
     assert got == pytest.approx(np.median([r["v"] for r in skewed.collect()]))

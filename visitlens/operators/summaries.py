@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from visitlens.functions import fixed_values as fixed
-from visitlens.operators.sizing import local_table, rows_if_small, scalar, small_table
+from visitlens.operators.sizing import durable, local_table, range_partitions, rows_if_small, scalar, small_table
 from visitlens.operators.skew import join_per_key, number_rows
 
 
@@ -69,6 +69,11 @@ def moments(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
+SKETCH = 2_000
+SHORT_GROUP = 10 * SKETCH
+LONGEST_BRACKET = 1_000_000
+
+
 def quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -79,35 +84,77 @@ def quantiles(
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per group, as an array in the order asked for.
 
-    No group is ever held in one buffer: rows are ranked (heavy groups over range partitions) and only
-    the ranks next to each quantile are kept. `spread=False` asks for the built-in exact percentile,
-    for groups known to be short.
+    Nothing is sorted as a whole: mergeable rank sketches give each quantile of a long group a bracket of values, a second
+    pass counts what lies below the brackets and ranks only the values inside. Short groups, at most `SHORT_GROUP` rows, take
+    the built-in percentile. `spread=False` takes it for all groups, where they are known to be short.
     """
     if not keys:
         # One constant key makes the whole table a single heavy group.
         whole = df.select(F.lit(0).alias("_all"), value)
         return quantiles(whole, ["_all"], value, probabilities, out, spread).drop("_all")
-    keys = list(keys)
+    keys, wanted = list(keys), [float(p) for p in probabilities]
     rows = df.select(*keys, F.col(value).cast("double").alias(value)).filter(F.col(value).isNotNull())
     if not spread:
-        return rows.groupBy(*keys).agg(F.percentile(value, list(probabilities)).alias(out))
-    # Equal values are interchangeable, so counting them first shrinks what has to be ranked.
-    distinct = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_copies"))
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    placed = cumulative_counts(distinct, keys, value)
-    placed = join_per_key(placed, small_table(sizes), keys, match_nulls=True)
+        return rows.groupBy(*keys).agg(F.percentile(value, wanted).alias(out))
+    slack, steps = 2 / SKETCH, sorted(set(wanted))
+    ends = [e for p in steps for e in (max(p - slack, 0.0), min(p + slack, 1.0))]
+    stats = durable(rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_size"), F.min(value).alias("_least"), F.max(value).alias("_most"),
+        F.percentile_approx(value, ends, SKETCH).alias("_ends")))
+    groups, total, longest, shortest = stats.agg(F.count(F.lit(1)), F.sum("_size"), F.max("_size"), F.min("_size")).first()
+    if not groups or longest <= SHORT_GROUP:
+        return rows.groupBy(*keys).agg(F.percentile(value, wanted).alias(out))
+    # Heavy keys are known from the sizes; no more than 1 / share of them can be.
+    heavy = stats.filter(F.col("_size") > max(0.5 / range_partitions(stats), 1e-4) * total).select(F.xxhash64(*keys)).collect()
+    heavy = [r[0] for r in heavy]
+    sized = join_per_key(rows, small_table(stats), keys, "inner", heavy, match_nulls=True)
+    found = _bracketed(sized.filter(F.col("_size") > SHORT_GROUP), stats.filter(F.col("_size") > SHORT_GROUP), keys, value, wanted, steps, out)
+    if shortest > SHORT_GROUP:
+        return found
+    return found.unionByName(sized.filter(F.col("_size") <= SHORT_GROUP).groupBy(*keys).agg(F.percentile(value, wanted).alias(out)))
+
+
+def _bracketed(sized: DataFrame, stats: DataFrame, keys: list[str], value: str, wanted: list[float], steps: list[float], out: str) -> DataFrame:
+    """Quantiles of long groups; `sized` rows carry the ends of all brackets, two per step in ascending order."""
+    v = F.col(value)
+    # The outermost brackets reach the ends of the group.
+    low = [F.col("_least") if p - 2 / SKETCH <= 0 else F.get("_ends", F.lit(2 * i)) for i, p in enumerate(steps)]
+    high = [F.col("_most") if p + 2 / SKETCH >= 1 else F.get("_ends", F.lit(2 * i + 1)) for i, p in enumerate(steps)]
+    under = sum(((v >= x).cast("int") for x in low), F.lit(0))  # brackets from this one on lie above the value
+    inside = [F.when(v.between(a, b), F.struct(F.lit(i).alias("_step"), v.alias(value))) for i, (a, b) in enumerate(zip(low, high))]
+    below = F.struct(under.alias("_step"), F.lit(None).cast("double").alias(value))
+    places = F.filter(F.array(below, *inside), lambda x: x.isNotNull())
+    counted = durable(
+        sized.select(*keys, F.explode(places).alias("_at")).groupBy(*keys, F.col("_at")["_step"].alias("_step"), F.col("_at")[value].alias(value))
+        .agg(F.count(F.lit(1)).alias("_copies")))
+    bases = counted.filter(v.isNull()).groupBy(*keys).agg(F.array(*[
+        F.coalesce(F.sum(F.when(F.col("_step") <= i, F.col("_copies"))), F.lit(0)) for i in range(len(steps))]).alias("_below"))
+    inner = counted.filter(v.isNotNull())
+    own = [*keys, "_step"]
+    most = inner.groupBy(*own).count().agg(F.max("count")).first()[0]
+    if most > LONGEST_BRACKET:
+        placed = cumulative_counts(inner, own, value)
+    else:
+        earlier = Window.partitionBy(*own).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        placed = inner.withColumn("_before", F.coalesce(F.sum("_copies").over(earlier), F.lit(0)))
+    # One row per group on the other side; brackets are a small part of the rows.
+    sizes = join_per_key(bases, stats.select(*keys, "_size"), keys, "inner", [], match_nulls=True)
+    placed = join_per_key(placed, small_table(sizes), keys, "inner", [], match_nulls=True)
+    before = F.col("_before") + F.get("_below", F.col("_step"))
     picks = []
-    for i, p in enumerate(probabilities):
-        height = (F.col("_size") - 1) * F.lit(float(p))
+    for i, p in enumerate(steps):
+        height = (F.col("_size") - 1) * F.lit(p)
         for name, rank in ((f"_low{i}", F.floor(height)), (f"_high{i}", F.ceil(height))):
-            holds = (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_copies"))
-            picks.append(F.max(F.when(holds, F.col(value))).alias(name))
+            holds = (F.col("_step") == i) & (before <= rank) & (rank < before + F.col("_copies"))
+            picks.append(F.max(F.when(holds, v)).alias(name))
     picked = placed.groupBy(*keys).agg(*picks, F.max("_size").alias("_size"))
     values = []
-    for i, p in enumerate(probabilities):
-        height = (F.col("_size") - 1) * F.lit(float(p))
-        low, high = F.col(f"_low{i}"), F.col(f"_high{i}")
-        values.append(low + (high - low) * (height - F.floor(height)))
+    for p in wanted:
+        i = steps.index(p)
+        height = (F.col("_size") - 1) * F.lit(p)
+        lower, upper = F.col(f"_low{i}"), F.col(f"_high{i}")
+        missed = F.raise_error(F.lit("a rank sketch missed its quantile")).cast("double")
+        values.append(F.when(lower.isNull() | upper.isNull(), missed).otherwise(lower + (upper - lower) * (height - F.floor(height))))
     return picked.select(*keys, F.array(*values).alias(out))
 
 
