@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks import adapters as A
 from checks.base import check, rounded, rounded_sql as rs
 from checks.joins_and_aggregates import ORDER, admissions, severity
-from checks.newton_sql import fit as fit_sql, recursive, t_two_sided
+from checks.newton_sql import fit as fit_sql, recursive, t_critical, t_two_sided
 from visitlens.operators import fits as M, grouped_fits as G
 from visitlens.operators.design import Factor, Numeric, Product, design_cells
 from visitlens.operators.wide import eliminated_fit
@@ -52,6 +52,15 @@ def ols(spark, d):
     return terms_out(main_fit(spark, d).terms(spark))
 
 
+@check("linear_table", with_fit(["severity"], OLS_CELLS, OLS_NAMES).rstrip() + f""", {t_critical('raw_terms')}
+    SELECT term, {', '.join(f"{rs(e, 5)} AS {c}" for c, e in {'estimate': 'estimate', 'std_error': 'std_error', 'lower': 'estimate - t * std_error',
+    'upper': 'estimate + t * std_error', 'p_value': 'p_value'}.items())} FROM terms JOIN critical USING (dof)""")
+def linear_table(spark, d):
+    """Estimates of the main linear fit with their t intervals."""
+    table = M.linear_table(main_fit(spark, d), spark)
+    return table.select("term", *[rounded(F.col(c), 5).alias(c) for c in ("estimate", "std_error", "lower", "upper", "p_value")])
+
+
 @check("design_matrix", f"""{A.views('severity')} SELECT ingest_key, CAST(1 AS DOUBLE) AS x0, CAST(year_since AS DOUBLE) AS x1, CAST(urgency AS DOUBLE) AS x2, CAST(gender = 2 AS DOUBLE) AS x3,
     CAST(region3 = 'Countryside' AS DOUBLE) AS x4, CAST(region3 = 'Surrounding Area' AS DOUBLE) AS x5, CAST(year_since * urgency AS DOUBLE) AS x6, {rs('ln(exposure)')} AS x7 FROM severity""")
 def design_matrix(spark, d):
@@ -175,13 +184,12 @@ def fit_stats_by_group(spark, d):
     return stats.select("category", rounded(F.col("r_squared")).alias("r_squared"), rounded(F.col("f_statistic"), 5).alias("f_statistic"))
 
 
-@check("f_critical", f"""{LINES} SELECT category, {rs('(1 - rss / syy) * (n - 2) / (rss / syy)', 5)} AS f_statistic, {rs('0.05 - ' + t_two_sided('sqrt(6.607890973703368)', '(n - 2)'), 6)} AS tail_gap FROM g""")
+@check("f_critical", f"""{recursive(LINES)}, dofs AS (SELECT n - 2 AS dof FROM g), {t_critical('dofs')}
+    SELECT category, {rs('(1 - rss / syy) * (n - 2) / (rss / syy)', 5)} AS f_statistic, {rs('t * t', 5)} AS f_critical FROM g JOIN critical ON dof = n - 2""")
 def f_critical(spark, d):
-    """The critical value is checked through its tail: the share above it must be the level."""
-    from visitlens.functions import special
+    """With one predictor the critical value is the square of the t that leaves the level in both tails."""
     stats = G.fit_statistics(letter_years(spark, d), "category", "year", "total")
-    tail = special.f_upper_udf("f_critical", F.lit(1.0), F.lit(5.0))
-    return stats.select("category", rounded(F.col("f_statistic"), 5).alias("f_statistic"), rounded(F.lit(0.05) - tail, 6).alias("tail_gap"))
+    return stats.select("category", rounded(F.col("f_statistic"), 5).alias("f_statistic"), rounded(F.col("f_critical"), 5).alias("f_critical"))
 
 
 AUGMENT = f"""{LINES}, a AS (SELECT l.*, g.*, icept + slope * year AS fitted, total - icept - slope * year AS residual, 1.0 / n + pow(year - xm, 2) / sxx AS hat

@@ -14,6 +14,14 @@ def t_two_sided(t: str, df: str) -> str:
     return _tail(t, density)
 
 
+def t_critical(dofs: str, level: float = 0.05, steps: int = 50) -> str:
+    """CTE `critical` (dof, t): the t that leaves `level` in both tails, by bisection of the tail; `dofs` has a column dof."""
+    return f"""bisected(dof, k, lo, hi) AS (SELECT DISTINCT CAST(dof AS DOUBLE), 0, CAST(0 AS DOUBLE), CAST(40 AS DOUBLE) FROM {dofs} UNION ALL
+        SELECT dof, k + 1, CASE WHEN tail > {level} THEN middle ELSE lo END, CASE WHEN tail > {level} THEN hi ELSE middle END
+        FROM (SELECT *, {t_two_sided('middle', 'dof')} AS tail FROM (SELECT *, (lo + hi) / 2 AS middle FROM bisected WHERE k < {steps}))),
+        critical AS (SELECT dof, (lo + hi) / 2 AS t FROM bisected WHERE k = {steps})"""
+
+
 def normal_two_sided(z: str) -> str:
     return _tail(z, "exp(-x * x / 2) / sqrt(2 * pi())")
 

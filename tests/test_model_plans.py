@@ -32,7 +32,7 @@ def test_ladder_drops_terms_step_by_step(ladder):
 
 def test_ladder_reports_every_term(ladder):
     for r in ladder.values():
-        assert r.terms.count() == r.odds.count() == len(r.fit.names)
+        assert r.terms.count() == r.intervals.count() == len(r.fit.names)
         assert {x["term"] for x in r.inflation.collect()} <= set(r.fit.design.term_of.values())
         assert all(x["gvif"] > 0.99 for x in r.inflation.collect())
 
@@ -55,6 +55,8 @@ def test_rate_report(spark):
     assert report.bias.count() == 34 and report.differences.count() == 6
     assert 0 < report.r_squared.first()["r_squared"] < 1
     assert 0 < report.normality.first()["w"] <= 1 and report.distance_from_normal.first()["n"] == 34
+    slope = next(r for r in report.all_visits.intervals.collect() if r["term"] == "year_since")
+    assert slope["lower"] < slope["estimate"] < slope["upper"]  # of the estimate itself, not its exponential
 
 
 def test_severity_report(spark):

@@ -110,6 +110,19 @@ def test_shapiro_on_published_samples(spark):
     assert got["flat"]["w"] is None and got["two"]["w"] is None and got["two"]["n"] == 2
 
 
+def test_weighted_cells_are_tested_as_their_rows(spark):
+    rows = [(g, v) for g, v in zip("ab" * 150, np.round(RNG.normal(size=300), 1).tolist())] + [("a", None), (None, 1.0)]
+    table = spark.createDataFrame(rows, "g string, x double")
+    cells = table.groupBy("g", "x").agg(F.count("*").cast("double").alias("w")).unionByName(spark.createDataFrame([("a", 9.0, 0.0)], "g string, x double, w double"))
+    got, want = (sorted(map(tuple, f.collect()), key=repr) for f in (
+        normality.shapiro_wilk(cells, ["g"], "x", "w"), normality.shapiro_wilk(table, ["g"], "x")))
+    assert len(got) == 3 and [r[:2] for r in got] == [r[:2] for r in want]
+    for a, b in zip(got, want):
+        assert a[2:] == (pytest.approx(b[2], rel=1e-10), pytest.approx(b[3], rel=1e-8)) if b[2] is not None else a[2:] == (None, None)
+    a, b = normality.ks_normal(cells, "x", "w").first(), normality.ks_normal(table, "x").first()
+    assert a["n"] == b["n"] == 301 and a["statistic"] == pytest.approx(b["statistic"], rel=1e-10) and a["p_value"] == pytest.approx(b["p_value"], rel=1e-8)
+
+
 def test_shapiro_without_keys_and_above_the_limit(spark):
     one = normality.shapiro_wilk(spark.createDataFrame([(v,) for v in SAMPLE], "x double"), [], "x").first()
     assert one["w"] == pytest.approx(0.900473, abs=2e-6)

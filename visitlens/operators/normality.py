@@ -47,15 +47,24 @@ def _polynomial(coefficients: Sequence[float], x: Column) -> Column:
     return total
 
 
-def shapiro_wilk(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def _rows_of(df: DataFrame, weight: str | None) -> DataFrame:
+    """Cells as the rows they stand for: every value `weight` times, next to each other; a weight below 1 gives none."""
+    if weight is None:
+        return df
+    times = F.when(F.col(weight) >= 1, F.sequence(F.lit(1), F.col(weight).cast("long")))
+    return df.withColumn("_time", F.explode(times)).drop("_time")
+
+
+def shapiro_wilk(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
     """(keys, n, w, p_value) per group of 3 values or more that differ; other groups give null.
 
+    `weight` names the number of rows a cell stands for; the test is that of the rows.
     W has the same closed form at every size. The p-value's normal approximation was fitted on sizes up to 5000 and is
     carried on beyond them. Heavy groups are ranked and joined on the balanced path.
     """
     keys = list(keys) or ["_all"]
     rows = df.withColumn("_all", F.lit(0)) if keys == ["_all"] else df
-    rows = rows.select(*keys, F.col(value).cast("double").alias("x")).filter("x is not null")
+    rows = _rows_of(rows.filter(F.col(value).isNotNull()), weight).select(*keys, F.col(value).cast("double").alias("x")).filter("x is not null")
     sizes = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.var_pop("x").alias("_variance"), F.min("x").alias("_low"), F.max("x").alias("_high")
     )
@@ -100,9 +109,9 @@ def shapiro_wilk(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return out.drop("_all")
 
 
-def ks_normal(df: DataFrame, value: str) -> DataFrame:
-    """One-sample test against the normal with the sample's own mean and sd."""
-    rows = df.select(F.col(value).cast("double").alias(value)).filter(F.col(value).isNotNull())
+def ks_normal(df: DataFrame, value: str, weight: str | None = None) -> DataFrame:
+    """One-sample test against the normal with the sample's own mean and sd; `weight` as in `shapiro_wilk`."""
+    rows = _rows_of(df, weight).select(F.col(value).cast("double").alias(value)).filter(F.col(value).isNotNull())
     n, mean, sd = rows.agg(F.count(value), F.avg(value), F.stddev_samp(value)).first()
     tested = KolmogorovSmirnovTest.test(rows, value, "norm", float(mean), float(sd))
     return tested.select(F.lit(n).alias("n"), F.col("statistic"), F.col("pValue").alias("p_value"))

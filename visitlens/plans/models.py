@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from visitlens.functions import fixed_values as fixed
 from visitlens.functions.special import f_quantile
 from visitlens.operators import smooth_and_mixed as mixed
-from visitlens.operators.design import Factor, Numeric, Product, Term
+from visitlens.operators.design import WEIGHT, Factor, Numeric, Product, Term
 from visitlens.operators.fits import (
-    Fit, coefficient_differences, fit_glm, fit_linear, fit_negative_binomial, odds_table, prior_terms, variance_inflation,
+    Fit, coefficient_differences, fit_glm, fit_linear, fit_negative_binomial, linear_table, odds_table, prior_terms, variance_inflation,
 )
 from visitlens.operators.normality import ks_normal, shapiro_wilk
 from visitlens.operators.sizing import durable
@@ -25,17 +25,18 @@ STAY = Numeric("stay_hours")
 
 @dataclass
 class Report:
-    """A fit with the tables read off it."""
+    """A fit with the tables read off it: odds ratios of a logistic fit, t intervals of a linear one."""
 
     fit: Fit
     terms: DataFrame
-    odds: DataFrame
+    intervals: DataFrame
     inflation: DataFrame
 
 
 def report(fit: Fit, spark: SparkSession) -> Report:
     terms = fit.terms(spark)
-    return Report(fit, terms, odds_table(terms), variance_inflation(fit, spark))
+    intervals = linear_table(fit, spark) if fit.family == "gaussian" else odds_table(terms)
+    return Report(fit, terms, intervals, variance_inflation(fit, spark))
 
 
 def cohort_terms(*, drop: Sequence[str] = (), add: Sequence[str] = ()) -> list[Term]:
@@ -105,7 +106,7 @@ def rate_report(rates: DataFrame, rates_first: DataFrame, reference: str = "1")
     counted = scored.withColumn("predicted", F.exp("link"))
     return RateReport(
         whole, first, coefficient_differences(whole.fit, first.fit, spark), bias(scored, "link"),
-        pseudo_r2(counted, "count", "predicted"), shapiro_wilk(residuals, [], "residual"), ks_normal(residuals, "residual"),
+        pseudo_r2(counted, "count", "predicted"), shapiro_wilk(residuals, [], "residual", WEIGHT), ks_normal(residuals, "residual", WEIGHT),
     )
 
 
