@@ -45,6 +45,15 @@ def test_certain_draws(spark, good, bad, draws, want):
     assert spark.range(1).select(sharding.hypergeometric(F.lit(0.7), *args).alias("x")).first()[0] == want
 
 
+def test_draws_whose_counts_multiply_beyond_a_long(spark):
+    half = F.lit(10**10).cast("long")
+    u = spark.createDataFrame([(0.5,), (0.1,), (0.9,)], "u double")
+    got = [r[0] for r in u.select(sharding.hypergeometric(F.col("u"), half, half, half).alias("x")).collect()]
+    spread = (10**10 / 8) ** 0.5
+    assert abs(got[0] - 5 * 10**9) <= 2 and got[1] - got[0] == pytest.approx(-1.2816 * spread, rel=0.01)
+    assert got[2] - got[0] == pytest.approx(1.2816 * spread, rel=0.01)
+
+
 def test_matrix_rows_and_columns_add_up(spark):
     counts = spark.createDataFrame([(i, 10 + 7 * i) for i in range(9)], "block long, n long")
     rows = {r["block"]: r["sends"] for r in sharding.communication_matrix(counts, 4, 1).collect()}

@@ -25,7 +25,7 @@ def hypergeometric(u: Column, good: Column, bad: Column, draws: Column) -> Colum
     smallest step between two doubles.
     """
     total = good + bad
-    mean_part = draws * good / F.greatest(total, F.lit(1)).cast("double")
+    mean_part = draws.cast("double") * good / F.greatest(total, F.lit(1))  # the product of two counts may pass a long
     spread = F.sqrt(mean_part * bad / F.greatest(total, F.lit(1)) * (total - draws) / F.greatest(total - 1, F.lit(1)))
     mode = F.floor((draws + 1) * (good + 1).cast("double") / (total + 2))
     width = F.ceil(spread * 12 + 20)
