@@ -30,12 +30,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @query("op1_shards")
 def op1_shards(spark, folder):
     """All documents dealt into 16 shards, counts at most one apart."""
+    dealt = sharding.shuffle_to_shards(table(spark, folder, "documents"), 16)
     text = F.coalesce("text", F.lit(""))
-    slim = table(spark, folder, "documents").select(
-        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    return sharding.shuffle_to_shards(slim, 16).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
-        F.lit(None).cast("int").alias("grown_shard"))
+    return dealt.select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
