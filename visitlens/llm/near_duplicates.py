@@ -16,7 +16,7 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from visitlens.llm.common import written
 from visitlens.llm.components import connected_components
@@ -27,8 +27,6 @@ BANDS = 32
 SKETCHES_PER_BAND = 3
 KEPT_PER_SKETCH = 2
 CELLS_AT_ONCE = 1 << 21
-COUNTERS = 1 << 20
-COMMON_COUNTERS = 1 << 15
 WORD = re.compile(r"[^\W_]+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -154,11 +152,12 @@ def shared_buckets(keys: DataFrame) -> DataFrame:
 
 
 def mixed_members(shared: DataFrame, classes: DataFrame) -> DataFrame:
-    """The members (`id`, `key`, `class`) of buckets that hold several classes (`node`, `component`)."""
-    by_class = shared.select("id", "key").join(classes, F.col("id") == F.col("node"), "left").select(
-        "id", "key", F.coalesce("component", "id").alias("class"))
-    mixed = by_class.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low != high")
-    return by_class.join(mixed.select("key"), "key")
+    """The members (`id`, `class`) of buckets that hold several classes (`node`, `component`)."""
+    by_class = written(shared.select("id", "key").join(classes, F.col("id") == F.col("node"), "left").select(
+        "id", "key", F.coalesce("component", "id").alias("class")))
+    # a table of its own, so that the join may split heavy buckets
+    mixed = written(by_class.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low != high").select("key"))
+    return by_class.join(mixed, "key").select("id", "class").distinct()
 
 
 def star_pairs(shared: DataFrame) -> DataFrame:
@@ -184,75 +183,55 @@ def verified_pairs(pairs: DataFrame, texts: DataFrame, size: int, least: float)
     return both.select("a", "b", "text_a", "text_b").mapInPandas(run, f"a {kind}, b {kind}, similarity double")
 
 
-def common_counters(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The counters on which most labelled shingles of `texts` fall, ascending, and how many; a fixed number at most."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            for own in shingle_hashes(list(batch["text"]), size):
-                if len(own):
-                    np.add.at(total, (labelled(own) % np.uint64(COUNTERS)).astype(np.int64), 1)
-        used = np.flatnonzero(total)
-        yield pd.DataFrame({"counter": used, "n": total[used]})
-
-    counted = texts.select("text").mapInPandas(run, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
-    found = counted.orderBy(F.desc("n"), "counter").limit(COMMON_COUNTERS).collect()
-    pairs = np.array(sorted((r["counter"], r["n"]) for r in found), np.int64).reshape(-1, 2)
-    return pairs[:, 0].copy(), pairs[:, 1].copy()
-
-
-def counted_on(shingles: np.ndarray, counters: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """How often the counter of each shingle was met, 0 for the counters left out."""
-    own = (shingles % np.uint64(COUNTERS)).astype(np.int64)
-    if not len(counters):
-        return np.zeros(len(own), np.int64)
-    place = np.minimum(np.searchsorted(counters, own), len(counters) - 1)
-    return np.where(counters[place] == own, counts[place], 0)
-
-
 def needed_shingles(least: float, total):
     """Shingles that two texts of `total` shingles together must share to be similar."""
-    return np.ceil(least / (1 + least) * total - 1e-9)
+    return F.ceil(F.lit(least / (1 + least)) * total - 1e-9)
 
 
-def rare_prefixes(texts: DataFrame, size: int, least: float) -> DataFrame:
-    """`id`, `n`, `shingle`, `place` of the first shingles of every text in one order of all shingles, rare ones first.
-
-    As many as a partner of any size may need: `short` tells those that a partner of the same size or longer needs.
-    """
-    counters, counts = common_counters(texts, size)
-
+def shingle_rows(texts: DataFrame, size: int) -> DataFrame:
+    """`id`, `class`, `n` and one `shingle` a row of `texts` (`id`, `class`, `text`); shingles of a text differ, `n` counts them."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for own_id, shingles in zip(batch["id"], shingle_hashes(list(batch["text"]), size)):
-                n = len(shingles)
-                if not n:
-                    continue
-                own = labelled(shingles)
-                kept = n - int(np.ceil(least * n - 1e-9)) + 1
-                first = own[np.lexsort((own, counted_on(own, counters, counts)))[:kept]]
-                place = np.arange(len(first))
-                yield pd.DataFrame({
-                    "id": own_id, "n": n, "shingle": first.view(np.int64), "place": place, "short": place <= n - needed_shingles(least, 2 * n)})
+            shingles = [labelled(s) if len(s) else s for s in shingle_hashes(list(batch["text"]), size)]
+            sizes = np.array([len(s) for s in shingles], np.int64)
+            held = batch[["id", "class"]].loc[batch.index.repeat(sizes)].reset_index(drop=True)
+            yield held.assign(n=np.repeat(sizes, sizes), shingle=np.concatenate([*shingles, np.zeros(0, np.uint64)]).view(np.int64))
 
     kind = texts.schema["id"].dataType.simpleString()
-    return texts.select("id", "text").mapInPandas(run, f"id {kind}, n int, shingle long, place int, short boolean")
+    return texts.select("id", "class", "text").mapInPandas(run, f"id {kind}, class {kind}, n long, shingle long")
 
 
-def prefix_pairs(texts: DataFrame, classes: DataFrame, size: int, least: float) -> DataFrame:
-    """All pairs `a`, `b` of `texts` in different classes (`id`, `class`) that may be similar, each once.
+def rare_prefixes(rows: DataFrame, least: float) -> DataFrame:
+    """The shingles of `rows` that may link classes: `id`, `class`, `n`, `shingle`, `place`, `short`, `minor`.
 
-    Similar texts share `needed_shingles`, so the rarest shingle they share stands so early in both that enough are left
+    `place` is that of the shingle in its text in one order of all shingles: first those that stand in one class only, then by
+    the number of pairs of different classes that they make, counted exactly. Kept are places that a partner of any size
+    may need (`short`: one of the same size or longer); texts with too few shingles of several classes have no partner.
+    `minor` tells the rows outside the shingle's largest class.
+    """
+    by_class = rows.groupBy("shingle", "class").agg(F.count("*").cast("double").alias("rows"))
+    pairs = F.sum("rows") * F.sum("rows") - F.sum(F.col("rows") * F.col("rows"))
+    shared = written(by_class.groupBy("shingle").agg(
+        pairs.alias("pairs"), F.count("*").alias("classes"), F.max_by("class", F.struct("rows", "class")).alias("main"))
+        .filter("classes > 1").select("shingle", "pairs", "main"))
+    # tables of their own, so that the join may split heavy shingles
+    found = written(rows.join(shared, "shingle").withColumn("minor", F.col("class") != F.col("main")).drop("main"))
+    held = F.count("*").over(Window.partitionBy("id"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("pairs", "shingle"))
+    placed = found.withColumn("held", held).withColumn("place", F.col("n") - F.col("held") + rank - 1)
+    last = F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9)
+    return placed.filter((F.col("n") - F.col("held") <= last) & (F.col("place") <= last)).select(
+        "id", "class", "n", "shingle", "place", (F.col("place") <= F.col("n") - needed_shingles(least, 2 * F.col("n"))).alias("short"), "minor")
+
+
+def prefix_pairs(texts: DataFrame, size: int, least: float) -> DataFrame:
+    """All pairs `a`, `b` of `texts` (`id`, `class`, `text`) in different classes that may be similar, each once.
+
+    Similar texts share `needed_shingles`, so the first shingle they share stands so early in both that enough are left
     after it. Members of the largest class of a shingle meet members of the others only, never each other.
     """
-    rows = written(rare_prefixes(texts, size, least).join(classes, "id"))
-    by_class = rows.groupBy("shingle", "class").agg(F.count("*").alias("rows"))
-    main = written(by_class.groupBy("shingle").agg(F.max_by("class", F.struct("rows", "class")).alias("main"), F.count("*").alias("held"))
-                   .filter("held > 1").select("shingle", "main"))
-    # tables of their own, so that the joins may split heavy shingles
-    rows = written(rows.join(main, "shingle").withColumn("minor", F.col("class") != F.col("main")).drop("main"))
-    enough = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= F.ceil(
-        F.lit(least / (1 + least)) * (F.col("x.n") + F.col("y.n")) - 1e-9)
+    rows = written(rare_prefixes(written(shingle_rows(texts, size)), least))
+    enough = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= needed_shingles(least, F.col("x.n") + F.col("y.n"))
     meet = ((F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.class") != F.col("y.class"))
             & (F.struct("x.n", "x.id") < F.struct("y.n", "y.id")) & enough)
     found = [
@@ -271,8 +250,8 @@ def near_duplicate_classes(
     `size`-word shingles align in order (words are lower-cased runs of letters and digits). Equal texts always share a
     group, empty ones too. Null texts and ids are their own class (`class_id` is the id). Rows that repeat an id
     with one text are one document and each returned; of an id with several texts the smallest is compared. Copies meet
-    once per text and members of a bucket its two ends; where that leaves several classes in a bucket, its members meet again
-    where they share two such buckets, and what is then still in several classes is joined exactly (`prefix_pairs`).
+    once per text and members of a bucket its two ends; members of buckets where that leaves several classes are joined
+    exactly (`prefix_pairs`).
     """
     ids = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     sketches = written(sketch_documents(docs, id_col, text_col, bands, per_band, kept, size))
@@ -290,17 +269,9 @@ def near_duplicate_classes(
     links = written(verified_pairs(pairs, texts, size, least))
     classes = written(connected_components(links, "a", "b"))
 
-    # Buckets whose members lie in several classes: their members meet again where they share two such buckets.
-    again = written(mixed_members(shared, classes))
-    other = again.select("id", F.col("key").alias("other"))
-    doubled = again.join(other, "id").filter("key < other").select("id", F.xxhash64("key", "other").alias("key"))
-    more = written(star_pairs(shared_buckets(doubled)).join(pairs, ["a", "b"], "left_anti"))
-    links = written(links.union(verified_pairs(more, texts, size, least)))
-    classes = written(connected_components(links, "a", "b"))
-
-    # What still lies in several classes meets every possible partner of another class.
-    rest = written(mixed_members(again.select("id", "key"), classes).select("id", "class").distinct())
-    exact = written(prefix_pairs(texts.join(rest.select("id"), "id", "left_semi"), rest, size, least))
+    # Members of buckets that still hold several classes meet every possible partner of another class.
+    rest = written(mixed_members(shared, classes))
+    exact = written(prefix_pairs(texts.join(rest, "id"), size, least).join(pairs, ["a", "b"], "left_anti"))
     links = links.union(verified_pairs(exact, texts, size, least))
     classes = connected_components(links, "a", "b")
     found = members.join(classes, F.col("copy_of") == F.col("node"), "left").select(
