@@ -30,6 +30,8 @@ def test_base_patterns():
 @pytest.mark.parametrize("text, found", [
     ('key = "Zx81kQ02mmPq77aa"\nclient_secret = key', ["Zx81kQ02mmPq77aa"]),
     ('a = "Zx81kQ02"\nb = "mmPq77aa"\nauth_token = a + b', ["Zx81kQ02", "mmPq77aa"]),
+    ('a = "Zx81kQ02"\nauth_token = a . "mmPq77aa"', ["Zx81kQ02", "mmPq77aa"]),
+    ('a = "Zx81kQ02mm"\na = a + a\nauth_token = a + a', ["Zx81kQ02mm"]),
     ('{"dbPassword": "s3cr3t-Value!"}', ["s3cr3t-Value!"]),
     ("<apiKey>Zx81kQ02mmPq</apiKey>", ["Zx81kQ02mmPq"]),
     ('config.set("private_key", "Zx81kQ02mmPq77")', ["Zx81kQ02mmPq77"]),
@@ -43,6 +45,15 @@ def test_secret_scan_is_linear_on_hostile_text():
         secrets.scan(text)
 
 
+@pytest.mark.parametrize("name", ["x", "client_secret"])
+def test_constants_that_double_stay_small(name):
+    """Every line doubles the value; its strings stay those of the text."""
+    text = f'{name} = "Zx81kQ02mm"\n' + f"{name} = {name} + {name}\n" * 2000 + f"auth_token = {name}"
+    assert [text[a:b] for a, b, _ in secrets.lexed_spans(text)] == ["Zx81kQ02mm"]
+    chain = 'a0 = "Zx81kQ02"\n' + "".join(f'a{i} = a{i - 1} + "p{i}"\n' for i in range(1, 20_000)) + "auth_token = a19999"
+    assert len(secrets.lexed_spans(chain)) == 20_000
+
+
 def test_secrets_of_awkward_rows(hard, documents):
     got = secrets.scan_secrets(hard).collect()
     assert len(got) == 12 and all(r["spans"] == "" for r in got)

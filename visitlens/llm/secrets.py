@@ -37,7 +37,7 @@ PAIR = re.compile(
     rf"""(?<![A-Za-z0-9_$.\-])(?P<key>{NAME})["']?[\t\x20]*(?::=|=>|==?|:)[\t\x20]*(?=[^\s=])|<(?P<tag>{NAME})>(?=[^<\s])"""
     rf"""|\b(?:set|put|setProperty|setenv|define)\([\t\x20]*["'](?P<arg>{NAME})["'][\t\x20]*,[\t\x20]*""")
 VALUE = re.compile(rf"""(?P<quoted>{QUOTED})|(?P<bare>[^\s"'<>,;(){{}}\[\]|&=]+=*)""")
-JOINT = re.compile(r"[\t\x20]*[+][\t\x20]*")
+JOINT = re.compile(r"""[\t\x20]*(?:[+]|[.](?=[\t\x20]*["'$]))[\t\x20]*""")
 WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 KINDS = {"assign": 0, "access": 1, "hex": 2, "lexed": 3}
 
@@ -82,30 +82,47 @@ def _parts(text: str, at: int) -> list[tuple[str, int, int, bool]]:
     return parts
 
 
+def _literals(parts: list) -> dict[tuple[int, int], str]:
+    """The strings by (start, end) that a value is made of, each once, in the order of their first use.
+
+    A part is a string or the parts of a constant. These are shared, not copied, and entered once, so a constant that is
+    joined with itself again and again costs no more than its strings.
+    """
+    out, entered, left = {}, {id(parts)}, [iter(parts)]
+    while left:
+        for part in left[-1]:
+            if isinstance(part, tuple):
+                out.setdefault(part[1:], part[0])
+            elif id(part) not in entered:
+                entered.add(id(part))
+                left.append(iter(part))
+                break
+        else:
+            left.pop()
+    return out
+
+
 def lexed_spans(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, "lexed") of the literals that sensitive names receive, directly or through constants."""
-    constants: dict[str, list[tuple[str, int, int]]] = {}
+    """(start, end, "lexed") of the literals that sensitive names receive, directly or through constants.
+
+    A value joined by `+` or `.` is scored as its strings put together, each literal of the text once.
+    """
+    constants: dict[str, list] = {}
     found = set()
     for m in PAIR.finditer(text):
         name = m["key"] or m["tag"] or m["arg"]
         parts = _parts(text, m.end())
         if not parts:
             continue
-        received = []
-        for value, start, end, literal in parts:
-            if not literal and value in constants:
-                received += constants[value]
-            else:
-                received.append((value, start, end))
+        received = [constants[value] if not literal and value in constants else (value, start, end) for value, start, end, literal in parts]
+        score = name_score(name)
+        if score > 0:
+            strings = _literals(received)
+            quality = literal_score("".join(strings.values()))
+            if quality and score + quality >= LEAST_SCORE:
+                found.update(span for span, value in strings.items() if value)
         # A value that is one bare word may be a constant or prose: only literals and constants are handed on.
         constants[name] = received if any(p[3] or p[0] in constants for p in parts) else []
-        score = name_score(name)
-        if score <= 0:
-            continue
-        whole = "".join(r[0] for r in received)
-        quality = literal_score(whole)
-        if quality and score + quality >= LEAST_SCORE:
-            found.update((start, end) for value, start, end in received if value)
     return [(start, end, "lexed") for start, end in found]
 
 
