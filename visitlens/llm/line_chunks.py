@@ -14,7 +14,7 @@ import xxhash
 from visitlens.llm.common import document_key, written
 
 WINDOW_LINES = 2
-LINES_PER_CHUNK = 4
+LINES_PER_CHUNK = 2
 LEAST_LINES = 2
 BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
