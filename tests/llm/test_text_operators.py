@@ -182,6 +182,19 @@ def test_no_link_of_a_crowded_bucket_is_lost(documents):
     assert all((i, j) in links for i in got for j in got if j < i and got[i] == got[j])  # every group is one planted pair
 
 
+def test_prefix_join_keeps_every_similar_pair_and_few_others(spark):
+    draw = random.Random(23)
+    passage, rows = draw.choices(WORDS, k=30), []
+    for i in range(40):
+        words = draw.choices(WORDS, k=70) + passage + draw.choices(WORDS, k=draw.randrange(20))
+        rows.append((2 * i, i % 25, " ".join(words)))
+        rows.append((2 * i + 1, i % 25 if i % 4 == 0 else 100 + i, " ".join(edited(draw, words, draw.randrange(1, 4)))))
+    texts = spark.createDataFrame(rows, "id long, class long, text string")
+    got = {(r["a"], r["b"]) for r in near_duplicates.prefix_pairs(texts, 5, 0.8).collect()}
+    want = {(i, j) for i, a, x in rows for j, b, y in rows if i < j and a != b and plain_similarity(x, y) >= 0.8}
+    assert len(want) >= 10 and want <= got and len(got) <= 40
+
+
 def test_near_duplicates_of_awkward_rows(hard, documents):
     got = near_duplicates.near_duplicate_classes(hard).collect()
     assert len(got) == 12
