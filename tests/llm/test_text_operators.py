@@ -1,6 +1,6 @@
 """Secrets, line chunks, near duplicates, licenses, mixing, repeated strings and quality against plain code."""
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 import hashlib
 import random
 import re
@@ -63,28 +63,47 @@ def test_secrets_of_awkward_rows(hard, documents):
 
 # line chunks
 
+def bounds_of(lines, times=None):
+    hashes = line_chunks.window_hashes(lines)
+    return line_chunks.chunk_bounds(hashes, dict.fromkeys(hashes, 2) if times is None else times)
+
+
 def test_chunks_shift_with_the_text():
     draw = random.Random(1)
     lines = [prose(draw, 6) for _ in range(200)]
-    own = {tuple(lines[a:b]) for a, b in line_chunks.chunk_bounds(lines)}
+    own = {tuple(lines[a:b]) for a, b in bounds_of(lines)}
     moved = ["new", *lines[:90], "and here", *lines[90:]]
-    again = {tuple(moved[a:b]) for a, b in line_chunks.chunk_bounds(moved)}
+    again = {tuple(moved[a:b]) for a, b in bounds_of(moved)}
     assert len(own & again) >= len(own) - 6
-    bounds = line_chunks.chunk_bounds(lines)
+    bounds = bounds_of(lines)
     assert bounds[0][0] == 0 and bounds[-1][1] == 200 and all(a[1] == b[0] for a, b in zip(bounds, bounds[1:]))
+    assert all(b - a >= 2 for a, b in bounds) and bounds_of(["one"]) == [] == bounds_of(lines, {})
 
 
 def brute_chunks(rows):
+    """The kept text of every document, pairs of lines counted one by one."""
+    pairs = Counter(pair for _, text in rows for lines in [text.split("\n")] for pair in zip(lines, lines[1:]))
     seen, out = set(), {}
     for doc_id, text in sorted(rows):
-        lines, kept = text.split("\n"), []
-        for start, end in line_chunks.chunk_bounds(lines):
+        lines, kept, at = text.split("\n"), [], 0
+        times = {line_chunks.window_hashes(list(pair))[0]: pairs[pair] for pair in zip(lines, lines[1:]) if pairs[pair] > 1}
+        for start, end in bounds_of(lines, times):
             part = "\n".join(lines[start:end])
-            if end - start >= 2 and part in seen:
-                continue
-            seen |= {part} if end - start >= 2 else set()
-            kept += lines[start:end]
-        out[doc_id] = "\n".join(kept)
+            kept += lines[at:start] + ([] if part in seen else lines[start:end])
+            seen.add(part)
+            at = end
+        out[doc_id] = "\n".join(kept + lines[at:])
+    return out
+
+
+def lines_of_repeated_runs(rows):
+    """Per document the numbers of its lines in runs of two or more that an earlier text has; no hash and no chunk."""
+    seen, out = set(), {}
+    for doc_id, text in sorted(rows):
+        lines = text.split("\n")
+        pairs = list(zip(lines, lines[1:]))
+        out[doc_id] = {j for i, pair in enumerate(pairs) if pair in seen for j in (i, i + 1)}
+        seen |= set(pairs)
     return out
 
 
@@ -102,6 +121,43 @@ def test_repeated_chunks_against_plain_code(documents):
     assert all(len(r["text"].split("\n")) == r["n_lines"] - r["n_removed_lines"] or not r["text"] for r in got)
 
 
+def test_nine_of_ten_repeated_lines_go(documents):
+    """Passages of two to eight lines in other surroundings, against all repeated runs of lines."""
+    draw = random.Random(7)
+    passages = [[prose(draw, 5) for _ in range(draw.randrange(2, 9))] for _ in range(30)]
+    rows = []
+    for i in range(150):
+        lines = [prose(draw, 5) for _ in range(draw.randrange(1, 6))]
+        for passage in draw.sample(passages, draw.randrange(3)):
+            at = draw.randrange(len(lines) + 1)
+            lines[at:at] = passage
+        rows.append((i, "\n".join(lines)))
+    due = lines_of_repeated_runs(rows)
+    got = {r["doc_id"]: r for r in line_chunks.drop_repeated_chunks(documents(rows)).collect()}
+    text = "\n".join(r["text"] for r in got.values())
+    assert all(line in text for passage in passages for line in passage if any(line in t for _, t in rows))
+    assert all(got[i]["n_removed_lines"] <= len(due[i]) for i, _ in rows)
+    assert sum(r["n_removed_lines"] for r in got.values()) >= 0.9 * sum(map(len, due.values())) > 300
+
+
+def test_recall_of_repeated_lines_on_the_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("text is not null")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    due = lines_of_repeated_runs(rows)
+    got = {r["doc_id"]: r["text"] for r in line_chunks.drop_repeated_chunks(docs).select("doc_id", "text").collect()}
+    gone = 0
+    for doc_id, text in rows:
+        # lines that went: what is left is a subsequence of the lines
+        kept = iter(got[doc_id].split("\n"))
+        want = next(kept, None)
+        for number, line in enumerate(text.split("\n")):
+            if line == want:
+                want = next(kept, None)
+            else:
+                gone += number in due[doc_id]
+    assert gone >= 0.9 * sum(map(len, due.values()))
+
+
 def test_line_chunks_of_awkward_rows(hard, documents):
     got = line_chunks.drop_repeated_chunks(hard.withColumn("n_lines", F.lit("old"))).collect()
     assert len(got) == 12 and sum(r["n_removed_lines"] for r in got) == 0
