@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from checks import adapters as A
 from checks.base import check, rounded, rounded_sql as rs
 from checks.joins_and_aggregates import ORDER, admissions, severity
-from checks.newton_sql import fit as fit_sql, recursive, t_critical, t_two_sided
+from checks.newton_sql import fit as fit_sql, profile_ends, recursive, t_critical, t_two_sided
 from visitlens.operators import fits as M, grouped_fits as G
 from visitlens.operators.design import Factor, Numeric, Product, design_cells
+from visitlens.operators.profiles import profile_intervals
 from visitlens.operators.wide import eliminated_fit
 from visitlens.plans import diagnosis as D, rates as R
 
@@ -285,6 +286,18 @@ def odds_table(spark, d):
     return odds.select("parameter", *[rounded(F.col(c), 5).alias(c) for c in ("odds_ratio", "lower", "upper", "p_value")])
 
 
+PROFILE_SQL = f""", {profile_ends(len(LOGIT_NAMES), 0.95)} SELECT term AS parameter, {rs('exp(max(estimate))', 5)} AS odds_ratio, {rs('max(CASE WHEN side = -1 THEN reached END)', 5)} AS lower,
+    {rs('max(CASE WHEN side = 1 THEN reached END)', 5)} AS upper, {rs('max(p_value)', 5)} AS p_value FROM terms JOIN (SELECT side,
+    CASE j {' '.join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(LOGIT_NAMES))} END AS term,
+    CASE j {' '.join(f'WHEN {i} THEN exp(c{i})' for i in range(len(LOGIT_NAMES)))} END AS reached FROM ends) USING (term) GROUP BY term"""
+
+
+@check("odds_profile", with_fit(["responses"], LOGIT_CELLS, LOGIT_NAMES, "binomial") + PROFILE_SQL)
+def odds_profile(spark, d):
+    odds = profile_intervals(logit_fit(spark, d), spark)
+    return odds.select("parameter", *[rounded(F.col(c), 5).alias(c) for c in ("odds_ratio", "lower", "upper", "p_value")])
+
+
 DRAW_ODDS = f"""SELECT parameter, {rs('exp(quantile_cont(value, 0.5))', 5)} AS odds_ratio, {rs('exp(quantile_cont(value, 0.025))', 5)} AS lower,
     {rs('exp(quantile_cont(value, 0.975))', 5)} AS upper, 'Bayesian' AS type FROM draws GROUP BY parameter"""
 GLM_ODDS = f"SELECT term AS parameter, {rs('exp(estimate)', 5)} AS odds_ratio, {rs('exp(estimate - 1.96 * std_error)', 5)} AS lower, {rs('exp(estimate + 1.96 * std_error)', 5)} AS upper, 'GLM' AS type FROM terms"

@@ -106,6 +106,27 @@ def fit(cells: str, names: list[str], family: str = "gaussian", steps: int = 12)
         terms AS (SELECT term, estimate, std_error, estimate / std_error AS statistic, {tail('estimate / std_error')} AS p_value, dof FROM raw_terms)"""
 
 
+def profile_ends(p: int, level: float, steps: int = 12) -> str:
+    """CTE `ends` (j, side, c0 …) after those of a binomial `fit`: where the profile likelihood of b_j falls to the level."""
+    c = ", ".join(f"c{i}" for i in range(p))
+    eta = "(" + " + ".join(f"c{i} * x{i}" for i in range(p)) + " + off)"
+    loglik = f"y * {eta} - greatest({eta}, 0) - ln(1 + exp(-abs({eta})))"
+    pick = lambda i: "CASE j " + " ".join(f"WHEN {j} THEN v_{min(i, j)}_{max(i, j)}" for j in range(p)) + " END"
+    own = "CASE j " + " ".join(f"WHEN {j} THEN v_{j}_{j}" for j in range(p)) + " END"
+    q = f"pow({normal_quantile(str(0.5 + level / 2))}, 2)"
+    start = ", ".join(f"b{i} + side * sqrt({q} / ({own})) * ({pick(i)})" for i in range(p))
+    top = f"(SELECT sum(w * ({loglik})) FROM cells, (SELECT {', '.join(f'b{i} AS c{i}' for i in range(p))} FROM model))"
+    inner = f"""(SELECT k, j, side, {c}, sum(w * ll) AS ll, {_sums(p, '(mu * (1 - mu))', '(y - mu) / (mu * (1 - mu))')}
+        FROM (SELECT *, {loglik} AS ll, 1 / (1 + exp(-{eta})) AS mu FROM walk, cells) GROUP BY ALL)"""
+    gain = " + ".join(f"t_{i} * b{i}" for i in range(p))
+    room = f"greatest(0.0, 2 * (ll + ({gain}) / 2 - {top} + {q} / 2) / ({own}))"
+    moved = ", ".join(f"c{i} + b{i} + side * sqrt(room) * ({pick(i)})" for i in range(p))
+    carried = f"k, j, side, {c}, ll, " + ", ".join(f"t_{i}" for i in range(p))
+    return f"""walk(k, j, side, {c}) AS (SELECT 0, j, side, {start} FROM model, range({p}) r(j), (VALUES (-1), (1)) s(side) UNION ALL
+        SELECT k + 1, j, side, {moved} FROM (SELECT *, {room} AS room FROM {_solve(inner, p, carried)}) WHERE k < {steps}),
+        ends AS (SELECT * FROM walk WHERE k = {steps})"""
+
+
 def _negative_binomial(p: int, steps: int, h: float = 1e-3) -> str:
     """Newton steps for the coefficients beside Newton steps for log(theta) with differenced likelihoods."""
     eta = " + ".join(f"b{i} * x{i}" for i in range(p))

@@ -51,6 +51,17 @@ def sink_snapshot(spark, d):
     return plain(IO.read_snapshot(spark, folder, "visits", "1"))
 
 
+@check("snapshot_versions", f"""{A.views('visits')} SELECT '1' AS version, count(*) AS n_rows, false AS newest FROM visits WHERE severity > 3
+    UNION ALL SELECT '2', count(*), true FROM visits""")
+def snapshot_versions(spark, d):
+    """The published versions, and whether a reader that names none gets as many rows."""
+    folder, visits = scratch(spark), A.visits(spark, d)
+    IO.write_snapshot(visits.filter("severity > 3"), folder, "visits", "1", ["year"])
+    IO.write_snapshot(visits, folder, "visits", "2")
+    read = IO.read_snapshot(spark, folder, "visits").agg(F.count(F.lit(1))).scalar()
+    return IO.published_snapshots(spark, folder, "visits").select("version", "n_rows", (F.col("n_rows") == read).alias("newest"))
+
+
 @check("sink_csv", f"{A.views('visits')} SELECT year, CAST(region AS DOUBLE) AS region, count(*) AS n FROM visits GROUP BY ALL")
 def sink_csv(spark, d):
     counts = A.visits(spark, d).groupBy("year", F.col("region").cast("double").alias("region")).agg(F.count(F.lit(1)).alias("n"))

@@ -1,9 +1,13 @@
-"""Reading and writing tables: Parquet, CSV, versioned snapshots, posterior draws."""
+"""Reading and writing tables: Parquet, CSV, published versions of snapshots, posterior draws."""
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+import json
 from pathlib import PurePosixPath
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -20,22 +24,61 @@ def scan_csv(spark: SparkSession, path: str, schema: str | StructType) -> DataFr
     return spark.read.csv(path, header=True, schema=schema)
 
 
+MANIFEST = "version string, path string, n_rows long, published_at timestamp, schema string"
+
+
 def snapshot_path(folder: str, name: str, version: str) -> str:
     """Each run writes to a path of its own, so a finished snapshot is never overwritten by a later step."""
     return str(PurePosixPath(folder) / name / f"version={version}")
 
 
+def published_snapshots(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """(version, path, n_rows, published_at, schema) of every version whose files are complete; no rows before the first."""
+    try:
+        return spark.read.schema(MANIFEST).option("recursiveFileLookup", True).json(_manifests(folder, name))
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], MANIFEST)
+
+
+def _manifests(folder: str, name: str) -> str:
+    return str(PurePosixPath(folder) / f"{name}.published")
+
+
 def write_snapshot(df: DataFrame, folder: str, name: str, version: str, partition_by: list[str] | None = None) -> str:
-    path = snapshot_path(folder, name, version)
+    """Write the files of an attempt, then a manifest of one row that makes the version visible; returns the path.
+
+    A writer that dies before the manifest leaves nothing that a reader sees, and the version can be written again. A
+    published version is never written twice.
+    """
+    spark = df.sparkSession
+    if not published_snapshots(spark, folder, name).filter(F.col("version") == version).isEmpty():
+        raise ValueError(f"version {version} of {name} is published already")
+    path = f"{snapshot_path(folder, name, version)}/{uuid.uuid4().hex}"
     writer = df.write.mode("error")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    n_rows = spark.read.schema(df.schema).parquet(path).count()
+    _publish(spark, folder, name, (version, path, n_rows, datetime.now(timezone.utc), df.schema.json()))
     return path
 
 
-def read_snapshot(spark: SparkSession, folder: str, name: str, version: str) -> DataFrame:
-    return spark.read.parquet(snapshot_path(folder, name, version))
+def _publish(spark: SparkSession, folder: str, name: str, row: tuple) -> None:
+    """A folder of its own per manifest, so that writers of several versions do not meet."""
+    spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("error").json(f"{_manifests(folder, name)}/{uuid.uuid4().hex}")
+
+
+def read_snapshot(spark: SparkSession, folder: str, name: str, version: str | None = None) -> DataFrame:
+    """A published version, the newest one without `version`, with the types it was written with."""
+    known = published_snapshots(spark, folder, name)
+    if version is not None:
+        known = known.filter(F.col("version") == version)
+    newest = known.orderBy(F.desc("published_at"), F.desc("version")).first()
+    if newest is None:
+        raise ValueError(f"no published version{'' if version is None else f' {version}'} of {name} in {folder}")
+    return spark.read.schema(StructType.fromJson(json.loads(newest["schema"]))).parquet(newest["path"])
 
 
 def write_csv(df: DataFrame, path: str) -> str:
