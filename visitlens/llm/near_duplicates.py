@@ -27,6 +27,7 @@ BANDS = 32
 SKETCHES_PER_BAND = 3
 KEPT_PER_SKETCH = 2
 CELLS_AT_ONCE = 1 << 21
+CHARACTERS_AT_ONCE = 1 << 19
 WORD = re.compile(r"[^\W_]+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -39,11 +40,24 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def shingle_hashes(texts: list[str], size: int = SHINGLE_WORDS) -> list[np.ndarray]:
-    """Hashes of the word shingles of each text in text order; a text of fewer words, but not none, is one shingle."""
-    words = [WORD.findall(text.lower()) for text in texts]
+    """Hashes of the word shingles of each text in text order; a text of fewer words, but not none, is one shingle.
+
+    Texts are split in slices of about `CHARACTERS_AT_ONCE`, so that the words of a whole batch are never held at a time.
+    """
+    out, start, held = [], 0, 0
+    for end, text in enumerate(texts, start=1):
+        held += len(text)
+        if held >= CHARACTERS_AT_ONCE or end == len(texts):
+            out += _slice_hashes(texts[start:end], size)
+            start, held = end, 0
+    return out
+
+
+def _slice_hashes(texts: list[str], size: int) -> list[np.ndarray]:
     known, found = {}, []
-    for own in words:
-        found.append(np.fromiter((known.setdefault(w, len(known)) for w in own), np.int64, len(own)))
+    for text in texts:
+        own = [known.setdefault(w, len(known)) for w in WORD.findall(text.lower())]
+        found.append(np.array(own, np.int64))
     hashed = pd.util.hash_array(np.array(list(known), dtype=object), categorize=False) if known else np.zeros(0, np.uint64)
     out = []
     for own in found:
