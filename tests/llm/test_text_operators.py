@@ -436,6 +436,24 @@ def test_strings_of_awkward_rows(hard, documents):
     assert suffixes.drop_repeated_strings(documents([])).count() == 0
 
 
+def test_exchanged_anchors_and_contexts_are_small():
+    draw = np.random.default_rng(5)
+    text = np.frombuffer(prose(random.Random(5), 40_000).encode(), np.uint8)
+    place, values = suffixes.anchors(text, np.array([0]), np.array([len(text)]))
+    values = np.unique(values)
+    low = np.where(np.arange(len(values)) % 50, draw.integers(70_000, 70_300, len(values)), draw.integers(-(1 << 62), 1 << 62, len(values)))
+    high = np.where(np.arange(len(values)) % 9, low, low + 1)
+    blob = suffixes.pack_anchors(values, low, high)
+    assert all((x == y).all() for x, y in zip(suffixes.unpack_anchors(blob), (values, low, high)))
+    assert len(blob) < 8 * len(values)  # 24 bytes each as they are, half of them noise
+    numbers = np.flatnonzero(draw.random(len(place)) < 0.2)
+    rows = draw.integers(97, 101, (len(numbers), suffixes.CONTEXT + 2)).astype(np.uint8)
+    blob = suffixes.pack_contexts(numbers, low[numbers % len(low)], rows)
+    got = suffixes.unpack_contexts(blob)
+    assert all((x == y).all() for x, y in zip(got, (numbers, low[numbers % len(low)], rows)))
+    assert got[0].dtype == np.int32 and len(blob) < (4 + rows.shape[1] / 3.5) * len(numbers)
+
+
 # quality
 
 def plain_repeats(words):

@@ -35,6 +35,8 @@ CONTEXT = REACH + LENGTH
 CHUNK_BYTES = 1 << 20
 ANCHORS_PER_BUCKET = 1_000_000
 BASE = 0x01000193
+HASH_BYTES = 6
+LEVEL = 6
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -53,7 +55,7 @@ def _sliding(op: Callable, x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors of all windows that lie inside one of the documents [start, end)."""
+    """Places and hashes (`HASH_BYTES` wide) of the anchors of all windows that lie inside one of the documents [start, end)."""
     if len(data) < LENGTH:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     power = [np.uint32(pow(BASE, k, 1 << 32)) for k in range(9)]
@@ -80,7 +82,48 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     total = np.zeros(len(place), np.uint64)
     for i in range(GRAM // 8):
         total = _mixed(total * np.uint64(0x9E3779B97F4A7C15) + words[:, i])
-    return place, total
+    return place, total >> np.uint64(64 - 8 * HASH_BYTES)
+
+
+def _planes(numbers: np.ndarray, width: int = 8) -> bytes:
+    """The lowest `width` bytes of whole numbers, all first bytes before all second ones."""
+    return np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, 8).T[:width].tobytes()
+
+
+def _from_planes(raw: bytes, count: int, width: int = 8, at: int = 0) -> np.ndarray:
+    out = np.zeros((count, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8, count * width, at).reshape(width, count).T
+    return out.view(np.int64).ravel()
+
+
+def pack_anchors(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> bytes:
+    """Ascending hashes with the smallest and largest id of each; all but the noise of the hashes is compressed."""
+    noise = (HASH_BYTES - 1) * len(values)
+    raw = _planes(values, HASH_BYTES) + _planes(low) + _planes(low ^ high)
+    return len(values).to_bytes(4, "little") + raw[:noise] + zstandard.ZstdCompressor(LEVEL).compress(raw[noise:])
+
+
+def unpack_anchors(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = int.from_bytes(blob[:4], "little")
+    noise = (HASH_BYTES - 1) * n
+    raw = blob[4:4 + noise] + zstandard.ZstdDecompressor().decompress(blob[4 + noise:])
+    low = _from_planes(raw, n, at=HASH_BYTES * n)
+    return _from_planes(raw, n, HASH_BYTES).view(np.uint64), low, low ^ _from_planes(raw, n, at=(HASH_BYTES + 8) * n)
+
+
+def pack_contexts(numbers: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> bytes:
+    """Ascending numbers of contexts (their steps are stored), their ids and bytes; the bytes in a frame of their own."""
+    pack = zstandard.ZstdCompressor(LEVEL).compress
+    known = pack(_planes(np.diff(numbers.astype(np.int64), prepend=0), 4) + _planes(ids))
+    return len(numbers).to_bytes(4, "little") + len(known).to_bytes(4, "little") + known + pack(np.ascontiguousarray(rows).tobytes())
+
+
+def unpack_contexts(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, size = int.from_bytes(blob[:4], "little"), int.from_bytes(blob[4:8], "little")
+    unpack = zstandard.ZstdDecompressor().decompress
+    known = unpack(blob[8:8 + size])
+    rows = np.frombuffer(unpack(blob[8 + size:]), np.uint8).reshape(n, CONTEXT + 2)
+    return np.cumsum(_from_planes(known, n, 4)).astype(np.int32), _from_planes(known, n, at=4 * n), rows
 
 
 class Chunk:
@@ -102,7 +145,7 @@ class Chunk:
         else:
             self.place, self.hash = np.zeros(0, np.int64), np.zeros(0, np.uint64)
         if repeated is not None and len(self.place):
-            met = np.isin(self.hash, np.concatenate([np.frombuffer(b, np.uint64) for b in repeated]))
+            met = np.isin(self.hash, np.concatenate([_from_planes(b, len(b) // HASH_BYTES, HASH_BYTES).view(np.uint64) for b in repeated]))
             self.place, self.hash = self.place[met], self.hash[met]
         self.doc = np.searchsorted(self.ends, self.place, side="right")
         self.id = self.ids[self.doc]
@@ -138,7 +181,7 @@ def pack_documents(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int
             texts = [r[3] for r in rows]
             return pd.DataFrame({
                 "chunk": [number], "ids": [[r[0] for r in rows]], "known": [[r[1] for r in rows]], "null": [[r[2] for r in rows]],
-                "sizes": [[len(t) for t in texts]], "blob": [zstandard.ZstdCompressor(3).compress(b"".join(texts)) if size else b""]})
+                "sizes": [[len(t) for t in texts]], "blob": [zstandard.ZstdCompressor(LEVEL).compress(b"".join(texts)) if size else b""]})
 
         for batch in batches:
             for own, known, text in zip(batch["id"].tolist(), batch["known"].tolist(), batch["text"]):
@@ -170,21 +213,16 @@ def repeated_anchors(chunks: DataFrame, buckets: int) -> DataFrame:
                 values, low, high = values[first], ids[first], ids[last]
 
                 def pack(i, values=values, low=low, high=high):
-                    # ids by byte plane: planes of equal bytes cost nothing in the exchange
-                    planes = np.concatenate([low[i], high[i]]).view(np.uint8).reshape(-1, 8).T
-                    return values[i].tobytes() + planes.tobytes()
+                    return pack_anchors(values[i], low[i], high[i])
 
                 sent = _per_bucket(values % np.uint64(buckets), buckets, pack)
                 yield pd.DataFrame({"bucket": [b for b, _ in sent], "chunk": row.chunk, "blob": [x for _, x in sent]})
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
-        counts = [len(b) // 24 for b in group["blob"]]
-        values = np.concatenate([np.frombuffer(b, np.uint64, n) for b, n in zip(group["blob"], counts)])
-        ids = [np.ascontiguousarray(np.frombuffer(b, np.uint8, 16 * n, 8 * n).reshape(8, -1).T).view(np.int64).ravel()
-               for b, n in zip(group["blob"], counts)]
-        low = np.concatenate([x[:n] for x, n in zip(ids, counts)])
-        high = np.concatenate([x[n:] for x, n in zip(ids, counts)])
-        chunk = np.repeat(group["chunk"].to_numpy(), counts)
+        sent = [unpack_anchors(b) for b in group["blob"]]
+        values, low, high = (np.concatenate(x) for x in zip(*sent))
+        chunk = np.repeat(group["chunk"].to_numpy(), [len(v) for v, _, _ in sent])
+        del sent
         order = np.argsort(values, kind="stable")
         new = np.r_[True, values[order][1:] != values[order][:-1]]
         first, run = np.flatnonzero(new), np.cumsum(new) - 1
@@ -193,7 +231,7 @@ def repeated_anchors(chunks: DataFrame, buckets: int) -> DataFrame:
         met = met[np.argsort(chunk[met], kind="stable")]
         owners, cuts = np.unique(chunk[met], return_index=True)
         cuts = np.r_[cuts, len(met)]
-        return pd.DataFrame({"chunk": owners, "blob": [values[met[a:b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]})
+        return pd.DataFrame({"chunk": owners, "blob": [_planes(values[met[a:b]], HASH_BYTES) for a, b in zip(cuts[:-1], cuts[1:])]})
 
     sent = chunks.mapInPandas(send, "bucket int, chunk long, blob binary")
     met = sent.groupBy("bucket").applyInPandas(meet, "chunk long, blob binary")
@@ -235,8 +273,6 @@ def repeated_offsets(rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 def merged_windows(chunks: DataFrame, buckets: int) -> DataFrame:
     """`chunk` with `found`: blobs of (number of a context, its repeated offsets), from chunks with `repeated`."""
-    wide = CONTEXT + 2
-
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
@@ -244,23 +280,17 @@ def merged_windows(chunks: DataFrame, buckets: int) -> DataFrame:
                 rows, ids, values, _ = own.contexts()
 
                 def pack(i, rows=rows, ids=ids):
-                    raw = i.astype(np.int32).tobytes() + ids[i].tobytes() + np.ascontiguousarray(rows[i]).tobytes()
-                    return len(i).to_bytes(4, "little") + zstandard.ZstdCompressor(3).compress(raw)
+                    return pack_contexts(i, ids[i], rows[i])
 
                 sent = _per_bucket(values % np.uint64(buckets), buckets, pack)
                 yield pd.DataFrame({"bucket": [b for b, _ in sent], "chunk": row.chunk, "blob": [x for _, x in sent]})
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
-        numbers, ids, rows, chunk = [], [], [], []
-        for owner, blob in zip(group["chunk"], group["blob"]):
-            n = int.from_bytes(blob[:4], "little")
-            raw = zstandard.ZstdDecompressor().decompress(blob[4:])
-            numbers.append(np.frombuffer(raw, np.int32, n))
-            ids.append(np.frombuffer(raw, np.int64, n, 4 * n))
-            rows.append(np.frombuffer(raw, np.uint8, n * wide, 12 * n).reshape(n, wide))
-            chunk.append(np.full(n, owner))
-        numbers, chunk = np.concatenate(numbers), np.concatenate(chunk)
-        found = repeated_offsets(np.concatenate(rows), np.concatenate(ids))
+        sent = [unpack_contexts(b) for b in group["blob"]]
+        numbers, ids, rows = (np.concatenate(x) for x in zip(*sent))
+        chunk = np.repeat(group["chunk"].to_numpy(), [len(n) for n, _, _ in sent])
+        del sent
+        found = repeated_offsets(rows, ids)
         met = np.flatnonzero(found)
         met = met[np.argsort(chunk[met], kind="stable")]
         owners, cuts = np.unique(chunk[met], return_index=True)
