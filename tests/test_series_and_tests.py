@@ -171,6 +171,34 @@ def test_smooth_line_keeps_a_straight_line(spark):
         assert r["smooth"] == pytest.approx(2 * r["x"] + 1, abs=1e-6)
 
 
+def test_box_reads_its_rows_once(spark):
+    rng = np.random.default_rng(8)
+    frame = pd.DataFrame({"g": rng.choice(["a", "b"], 3000), "v": np.round(rng.normal(size=3000) ** 3, 2)})
+    frame.loc[:6, "g"] = None
+    frame.loc[frame.index % 50 == 7, "v"] = None
+    df = spark.createDataFrame(frame).withColumn("v", F.when(~F.isnan("v"), F.col("v")))
+    read = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    slow = df.mapInPandas(passed, df.schema)
+    for spread in (None, False, True):
+        read.value = 0
+        got = {r["g"]: r for r in plotdata.box_stats(slow, "g", "v", spread).collect()}
+        assert read.value == len(frame)
+        for g, part in frame.groupby("g", dropna=False):
+            v, row = part["v"].dropna(), got[g if isinstance(g, str) else None]
+            q = v.quantile([0, 0.25, 0.5, 0.75, 1]).tolist()
+            reach = (q[3] - q[1]) * 1.5
+            inside = v[(v >= q[1] - reach) & (v <= q[3] + reach)]
+            assert [row[c] for c in ("min", "q1", "median", "q3", "max")] == pytest.approx(q, abs=1e-9)
+            assert (row["whisker_low"], row["whisker_high"], row["n_beyond"]) == (inside.min(), inside.max(), len(v) - len(inside))
+    assert plotdata.box_stats(df.filter("v is null"), "g", "v").count() == 0
+
+
 def test_box_and_bins(spark):
     df = spark.createDataFrame([("a", float(v)) for v in [1, 2, 3, 4, 5, 100]], "g string, v double")
     for spread in (False, True):

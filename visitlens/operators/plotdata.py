@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from visitlens.functions import special
 from visitlens.operators.design import WEIGHT
 from visitlens.operators.fits import Fit
-from visitlens.operators.sizing import scalar, small_table
+from visitlens.operators.sizing import durable, scalar, small_table
 from visitlens.operators.skew import join_per_key, number_rows
-from visitlens.operators.summaries import cumulative_counts, quantiles
+from visitlens.operators.summaries import LONGEST_BRACKET, counted_quantiles, cumulative_counts, quantiles
 
 
 def stacked_counts(df: DataFrame, x: str, fill: str) -> DataFrame:
@@ -79,18 +79,27 @@ def histogram_between(df: DataFrame, value: str, width: float | None = None) ->
 
 
 def box_stats(df: DataFrame, group: str, value: str, spread: bool | None = None) -> DataFrame:
-    """Quartiles per group, whisker ends (furthest values within 1.5 box lengths) and values beyond them."""
-    points = small_table(quantiles(df, [group], value, [0, 0.25, 0.5, 0.75, 1], "q", spread))
+    """Quartiles per group, whisker ends (furthest values within 1.5 box lengths) and values beyond them.
+
+    The rows are read once and become distinct values per group with their counts. `spread` ranks these without holding
+    a group in one task; by default where a group has more than `LONGEST_BRACKET` of them.
+    """
+    rows = df.select(group, F.col(value).cast("double").alias(value)).filter(F.col(value).isNotNull())
+    counted = durable(rows.groupBy(group, value).agg(F.count(F.lit(1)).alias("_copies")))
+    if spread is None:
+        longest = counted.groupBy(group).count().agg(F.max("count")).first()[0]
+        spread = longest is not None and longest > LONGEST_BRACKET
+    points = small_table(counted_quantiles(counted, [group], value, [0, 0.25, 0.5, 0.75, 1], "q", spread))
     names = ["min", "q1", "median", "q3", "max"]
     points = points.select(group, *[F.get("q", F.lit(i)).alias(f"_{n}") for i, n in enumerate(names)])
-    rows = join_per_key(df.select(group, F.col(value).cast("double").alias(value)).filter(F.col(value).isNotNull()), points, [group], "inner", match_nulls=True)
+    met = join_per_key(counted, points, [group], "inner", match_nulls=True)
     reach = (F.col("_q3") - F.col("_q1")) * 1.5
     inside = F.col(value).between(F.col("_q1") - reach, F.col("_q3") + reach)
-    return rows.groupBy(group).agg(
+    return met.groupBy(group).agg(
         *[F.max(f"_{n}").alias(n) for n in names],
         F.min(F.when(inside, F.col(value))).alias("whisker_low"),
         F.max(F.when(inside, F.col(value))).alias("whisker_high"),
-        F.count_if(~inside).alias("n_beyond"),
+        F.sum(F.when(inside, 0).otherwise(F.col("_copies"))).alias("n_beyond"),
     )
 
 

@@ -158,6 +158,26 @@ def _bracketed(sized: DataFrame, stats: DataFrame, keys: list[str], value: str,
     return picked.select(*keys, F.array(*values).alias(out))
 
 
+def counted_quantiles(
+    counted: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float], out: str = "quantiles", spread: bool = True
+) -> DataFrame:
+    """As `quantiles`, from the distinct values of each group with their number of rows, `_copies`."""
+    keys, wanted = list(keys), [float(p) for p in probabilities]
+    if not spread:
+        return counted.groupBy(*keys).agg(F.percentile(value, wanted, F.col("_copies")).alias(out))
+    sizes = counted.groupBy(*keys).agg(F.sum("_copies").alias("_size"))
+    placed = join_per_key(cumulative_counts(counted, keys, value), small_table(sizes), keys, "inner", match_nulls=True)
+    picks, values = [], []
+    for i, p in enumerate(wanted):
+        height = (F.col("_size") - 1) * F.lit(p)
+        for name, rank in ((f"_low{i}", F.floor(height)), (f"_high{i}", F.ceil(height))):
+            holds = (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_copies"))
+            picks.append(F.max(F.when(holds, F.col(value))).alias(name))
+        lower, upper = F.col(f"_low{i}"), F.col(f"_high{i}")
+        values.append(lower + (upper - lower) * (height - F.floor(height)))
+    return placed.groupBy(*keys).agg(*picks, F.max("_size").alias("_size")).select(*keys, F.array(*values).alias(out))
+
+
 def cumulative_counts(distinct: DataFrame, keys: list[str], value: str) -> DataFrame:
     """`_before`: rows before each distinct value (`_copies` rows each) of its group, by a two-level running sum.
 
