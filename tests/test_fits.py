@@ -295,6 +295,31 @@ def test_forest_finds_the_predictor_that_matters(spark):
     assert [r["predictor"] for r in forest.ranked_importance(forest.forest_importance(fit, "id")).collect()][0] == "strong"
 
 
+def test_forest_reads_and_scores_its_rows_once(spark, monkeypatch):
+    n = 1200
+    df = spark.range(n).select(
+        F.col("id").alias("key"), (F.col("id") % 9).alias("who"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("kind"),
+        (F.col("id") % 13).cast("double").alias("x"), (F.col("id") % 13 * 2).cast("double").alias("y"))
+    read, scored = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def counting(counter):
+        def passed(batches):
+            for batch in batches:
+                counter.add(len(batch))
+                yield batch
+
+        return passed
+
+    fit = forest.fit_forest(df.mapInPandas(counting(read), df.schema), "y", "key", exclude=["who"], trees=3, depth=3)
+    held = fit.holdout.count()
+    score = fit.score
+    monkeypatch.setattr(fit, "score", lambda rows: score(rows.mapInPandas(counting(scored), rows.schema)))
+    got = {r["predictor"]: r for r in forest.forest_importance(fit, "key").collect()}
+    assert set(got) == {"kind", "x"} and got["x"]["mse_increase"] > 1
+    assert read.value == n
+    assert scored.value == held * 3
+
+
 def test_lognormal_and_poisson_families_rank_as_they_should(spark):
     rng = np.random.default_rng(2)
     df = spark.createDataFrame(pd.DataFrame({"x": np.arange(200) % 5 * 1.0, "count": rng.poisson(30, 200)}))

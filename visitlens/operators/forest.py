@@ -11,7 +11,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType
 
-from visitlens.operators.sizing import local_table
+from visitlens.operators.sizing import durable, local_table, small_table
 from visitlens.operators.skew import global_index
 
 TREES = 500
@@ -40,13 +40,14 @@ def fit_forest(
 ) -> Forest:
     """Forest on all other columns; a keyed hash sets a hold-out aside, as there are no out-of-bag rows.
 
-    `exclude` names columns that are not predictors, such as the patient.
+    `exclude` names columns that are not predictors, such as the patient. Complete rows are made durable, and so are the
+    sorted training rows: every pass of the learner and of the scoring reads these and runs nothing above them.
     """
     predictors = [c for c in df.columns if c not in {response, key, *exclude}]
     texts = [f.name for f in df.schema if f.name in predictors and isinstance(f.dataType, StringType)]
     rows = df.dropna(subset=[response, *predictors])
     bucket = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1000))
-    rows = rows.withColumn("_held", bucket < int(holdout * 1000))
+    rows = durable(rows.withColumn("_held", bucket < int(holdout * 1000)))
     names = [f"{c}_index" if c in texts else c for c in predictors]
     counted = rows.agg(*[F.count_distinct(c) for c in texts]).first() if texts else []
     levels = max([32, *counted])
@@ -57,7 +58,8 @@ def fit_forest(
         featureSubsetStrategy="onethird", maxBins=levels + 2, seed=seed,
     ))
     # Sampling inside the learner depends on row order, so the training rows are fixed by key first.
-    train = rows.filter(~F.col("_held")).drop("_held").repartitionByRange(key).sortWithinPartitions(key)
+    train = rows.filter(~F.col("_held")).select(key, response, *predictors)
+    train = durable(train.repartitionByRange(key).sortWithinPartitions(key))
     model = Pipeline(stages=stages).fit(train)
     return Forest(model, predictors, response, rows.filter("_held").drop("_held"))
 
@@ -92,7 +94,8 @@ def forest_importance(forest: Forest, key: str, seed: int = 3008) -> DataFrame:
         c: F.when(F.col("_variant") == c, F.col(f"_partner_{c}")).otherwise(F.col(c)) for c in forest.predictors
     })
     error = F.pow(F.col("prediction") - F.col(forest.response), F.lit(2))
-    errors = forest.score(swapped).groupBy("_variant").agg(F.avg(error).alias("mse"))
+    # One row per predictor, fetched once: the rows are scored for these only.
+    errors = small_table(forest.score(swapped).groupBy("_variant").agg(F.avg(error).alias("mse")))
     base = errors.filter("_variant = ''").agg(F.max("mse")).scalar()
     impurity = forest.model.stages[-1].featureImportances.toArray()
     shares = local_table(
